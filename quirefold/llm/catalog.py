@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import table
 from quirefold.llm import repeated_lines as lines4
+from quirefold.llm import split as split2
 from quirefold.llm import sql
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split2.page_rows(table(spark, folder, "page_records")).unionByName(
+        split2.chunk_rows(table(spark, folder, "chunk_records"))
+    )
+    return split2.split_oversized(rows, split2.read_limits(table(spark, folder, "split_limits")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pieces(spark, folder).filter("piece_index = 0").select("kind", "row_key")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = lines4.repeated_lines(table(spark, folder, "page_records"))
     return found.select(F.col("row_id").alias("line_no"), F.col("pos").cast("long").alias("line_pos"))
@@ -23,7 +35,7 @@ def p4_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_clean_pages": p4_clean_pages}
+    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 #: White space as in quirefold.constants, in RE2's spelling.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+NON_WS = WS.replace("[", "[^", 1)
+
 _REPEATED = rf"""
 pos AS (
   SELECT line_no, doc_id, page_index, unnest(string_split(text, chr(10))) AS line,
@@ -22,6 +24,14 @@ bad AS (
 )"""
 
 ORACLES = {
+    "p2_found": f"""
+WITH r AS (
+  SELECT 'page' AS kind, line_no AS row_key, text FROM page_records
+  UNION ALL SELECT 'chunk', chunk_no, text FROM chunk_records
+)
+SELECT r.kind, r.row_key FROM r JOIN split_limits s ON s.record_kind = r.kind
+WHERE trim(regexp_replace(text, '{WS}+', '', 'g')) <> ''
+  AND (length(text) > s.max_chars OR len(regexp_extract_all(text, '{NON_WS}+')) > s.max_words)""",
     "p4_found": f"WITH {_REPEATED} SELECT line_no, line_pos FROM keyed JOIN bad USING (doc_id, k)",
     "p4_clean_pages": f"""WITH {_REPEATED},
 hits AS (SELECT line_no, list(line_pos) AS gone FROM keyed JOIN bad USING (doc_id, k) GROUP BY line_no)
