@@ -8,11 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import table
+from quirefold.llm import near_dup as near1
 from quirefold.llm import repeated_lines as lines4
 from quirefold.llm import split as split2
 from quirefold.llm import sql
 
 
+#: The comparison that the test data state: three words and 0.5 for chunks of at
+#: least 30 words, three characters and 0.6 for source paths.
+STATED_KINDS = (near1.Kind("chunk", "word", 3, 0.5, 30), near1.Kind("path", "char", 3, 0.6))
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunk_records").select(
+        F.lit(0).alias("kind"), F.col("chunk_id").alias("id"), F.col("chunk_no").alias("row_no"), "text"
+    )
+    paths = table(spark, folder, "document_records").select(
+        F.lit(1).alias("kind"), F.col("doc_id").alias("id"), F.col("line_no").alias("row_no"), F.col("source_path").alias("text")
+    )
+    return chunks.unionByName(paths)
+
+
+def _kind_name():
+    return F.element_at(F.array(*(F.lit(k.name) for k in STATED_KINDS)), F.col("kind") + 1)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    links = near1.similar_records(_records(spark, folder), STATED_KINDS)
+    return near1.id_pairs(links).select(_kind_name().alias("kind"), "id_a", "id_b")
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    links = near1.similar_records(_records(spark, folder), STATED_KINDS)
+    return near1.classes(links).withColumn("kind", _kind_name())
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     rows = split2.page_rows(table(spark, folder, "page_records")).unionByName(
         split2.chunk_rows(table(spark, folder, "chunk_records"))
@@ -35,7 +65,7 @@ def p4_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages}
 
 
 def oracle_sql() -> dict[str, str]:

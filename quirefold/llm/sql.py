@@ -41,3 +41,20 @@ SELECT p.line_no,
        CAST(coalesce(len(h.gone), 0) AS BIGINT) AS removed_lines
 FROM page_records p LEFT JOIN hits h USING (line_no)""",
 }
+
+#: Brute force over the shingle sets; whole tables, since the sets of the test
+#: tables are small enough to join on the shingle.
+ORACLES["p1_found"] = f"""
+WITH chunk AS (SELECT DISTINCT chunk_id AS id, lower(text) AS t FROM chunk_records WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT id, regexp_extract_all(t, '{NON_WS}+') AS w FROM chunk),
+s AS (
+  SELECT DISTINCT 'chunk' AS kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM w WHERE len(w) >= 30
+  UNION ALL
+  SELECT DISTINCT 'path', doc_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3)))
+  FROM (SELECT DISTINCT doc_id, lower(source_path) AS p FROM document_records WHERE doc_id IS NOT NULL AND source_path IS NOT NULL)
+),
+n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY kind, id),
+b AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT b.kind, id_a, id_b FROM b JOIN n x ON x.kind = b.kind AND x.id = id_a JOIN n y ON y.kind = b.kind AND y.id = id_b
+WHERE m / (x.n + y.n - m)::DOUBLE >= CASE b.kind WHEN 'chunk' THEN 0.5 ELSE 0.6 END"""
