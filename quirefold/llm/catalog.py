@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import table
 from quirefold.llm import near_dup as near1
 from quirefold.llm import repeated_lines as lines4
+from quirefold.llm import sentences as sentences5
 from quirefold.llm import split as split2
 from quirefold.llm import sql
 
@@ -64,8 +65,18 @@ def p4_clean_pages(spark: SparkSession, folder: str) -> DataFrame:
     return clean.withColumnRenamed("row_id", "line_no")
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return split2.page_rows(table(spark, folder, "page_records")).select("kind", "row_key", "text").unionByName(
+        split2.chunk_rows(table(spark, folder, "chunk_records")).select("kind", "row_key", "text")
+    )
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences5.sentences(_texts(spark, folder)).select("kind", "row_key", "char_end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:

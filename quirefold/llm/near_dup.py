@@ -37,6 +37,8 @@ from quirefold.llm.common import mix64
 from quirefold.session import staged
 
 POSITIONS = 64
+#: Bits of each minwise value that a sketch keeps, one 64-bit plane each.
+PLANES = 4
 BUCKETS = 1 << 16
 KIND_BITS = np.uint64(3)
 _RNG = np.random.default_rng(20240229)
@@ -56,11 +58,10 @@ class Kind:
 
     @property
     def least_matches(self) -> int:
-        """Of the 64 two-bit symbols of a sketch, so many must agree: what a pair a
-        quarter below the threshold has on average, over four deviations below a
-        pair at the threshold."""
-        j = max(0.05, self.threshold - 0.2)
-        return int(POSITIONS * (j + (1 - j) / 4))
+        """Of the 64 four-bit symbols of a sketch, so many must agree: three and a half
+        deviations below what a pair at the threshold has on average."""
+        p = self.threshold + (1 - self.threshold) / (1 << PLANES)
+        return max(1, int(POSITIONS * p - 3.5 * (POSITIONS * p * (1 - p)) ** 0.5))
 
 
 @dataclass(frozen=True)
@@ -113,13 +114,13 @@ def signatures(h: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lowest two bits of the 64 values, as two words of one bit plane each."""
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of the 64 values: one row a record, one word a bit plane."""
     planes = []
-    for bit in (0, 1):
+    for bit in range(PLANES):
         plane = ((sig >> np.uint16(bit)) & np.uint16(1)).astype(np.uint8)
         planes.append(np.packbits(plane, axis=1, bitorder="little").view(np.uint64).ravel())
-    return planes[0], planes[1]
+    return np.stack(planes, axis=1)
 
 
 MEMBER_DDL = "kind int, id string, row_no long, rep long, sig binary"
@@ -225,19 +226,18 @@ def count_nodes(trees: int, hot: list[np.ndarray]):
     return run
 
 
-NODE_DDL = "path long, rep long, s0 long, s1 long, level int"
+NODE_DDL = "path long, rep long, " + ", ".join(f"s{i} long" for i in range(PLANES)) + ", level int"
 
 
-def _nodes(path, rep, row, s0, s1, level) -> pa.RecordBatch:
+def _nodes(path, rep, row, sketch, level) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(path.view(np.int64)),
             pa.array(rep[row]),
-            pa.array(s0[row].view(np.int64)),
-            pa.array(s1[row].view(np.int64)),
+            *(pa.array(sketch[row, i].view(np.int64)) for i in range(PLANES)),
             pa.array(np.broadcast_to(np.int32(level), len(path)).astype(np.int32)),
         ],
-        names=["path", "rep", "s0", "s1", "level"],
+        names=["path", "rep", *(f"s{i}" for i in range(PLANES)), "level"],
     )
 
 
@@ -246,11 +246,11 @@ def place(trees: int, hot: list[np.ndarray]):
         for whole in batches:
             for at in range(0, len(whole), 2048):
                 kind, rep, sig = _read(whole.slice(at, 2048))
-                s0, s1 = sketches(sig)
+                sketch = sketches(sig)
                 leaves, path, row = walk(kind, sig, trees, hot)
                 for p, r, level in [*leaves, (path, row, len(hot) + 1)]:
                     if len(p):
-                        yield _nodes(p, rep, r, s0, s1, level)
+                        yield _nodes(p, rep, r, sketch, level)
 
     return run
 
@@ -263,9 +263,8 @@ def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         level = batch.column(1).to_numpy(zero_copy_only=False)
         _, rep, sig = _read(batch.select([1, 2, 3]))
-        s0, s1 = sketches(sig)
         child, row = children(path, np.arange(len(path)), sig)
-        yield _nodes(child, rep, row, s0, s1, level[row] + 1)
+        yield _nodes(child, rep, row, sketches(sig), level[row] + 1)
 
 
 FOUND_DDL = "a long, b long, path long, level int"
@@ -274,7 +273,7 @@ FOUND_DDL = "a long, b long, path long, level int"
 def compare_nodes(least: tuple[int, ...], limit: int | None):
     """Rows sorted by path -> pairs whose sketches agree; rows of nodes above the limit."""
 
-    def pairs(path, rep, s0, s1):
+    def pairs(path, rep, *planes):
         """Compare every row with those after it in its node, one distance at a time."""
         end = np.searchsorted(path, path, side="right")
         need = np.array(least, np.int64)[(path & KIND_BITS).astype(np.int64)]
@@ -286,7 +285,10 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
             if not len(at):
                 break
             other = at + d
-            differ = np.bitwise_count((s0[at] ^ s0[other]) | (s1[at] ^ s1[other])).astype(np.int64)
+            differ = planes[0][at] ^ planes[0][other]
+            for plane in planes[1:]:
+                differ |= plane[at] ^ plane[other]
+            differ = np.bitwise_count(differ).astype(np.int64)
             near = POSITIONS - differ >= need[at]
             x, y = rep[at[near]], rep[other[near]]
             got.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
@@ -319,7 +321,7 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
         def work(part, last: bool):
             """Compare the whole nodes of ``part``; returns what may go on in the next batch."""
             nonlocal big
-            path, rep, s0, s1, level = part
+            path, rep, *planes, level = part
             out = []
             cut = len(path) if last else int(np.searchsorted(path.view(np.int64), path.view(np.int64)[-1]))
             if limit is not None:
@@ -339,7 +341,7 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
             else:
                 here = np.arange(len(path)) < cut
             if here.any():
-                both = pairs(path[here], rep[here], s0[here], s1[here])
+                both = pairs(path[here], rep[here], *(x[here] for x in planes))
                 if both.shape[1]:
                     out.append(found(both))
             return out, tuple(x[cut:] for x in part)
@@ -347,8 +349,8 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
         for batch in batches:
             if not len(batch):
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            held.append((cols[0].view(np.uint64), cols[1], cols[2].view(np.uint64), cols[3].view(np.uint64), cols[4]))
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(PLANES + 3)]
+            held.append((cols[0].view(np.uint64), cols[1], *(x.view(np.uint64) for x in cols[2:-1]), cols[-1]))
             rows += len(batch)
             if rows >= 50_000:
                 out, rest = work(tuple(np.concatenate(x) for x in zip(*held)), False)
@@ -425,8 +427,7 @@ def _blocks(done: DataFrame, signed: DataFrame, kinds: tuple[Kind, ...], plan: J
                 path = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 level = batch.column(1).to_numpy(zero_copy_only=False)
                 _, rep, sig = _read(batch.select([1, 2, 3]))
-                s0, s1 = sketches(sig)
-                yield _nodes(path, rep, np.arange(len(path)), s0, s1, level)
+                yield _nodes(path, rep, np.arange(len(path)), sketches(sig), level)
 
     nodes = rows.select("path", "level", "rep", "sig").mapInArrow(run, NODE_DDL)
     return _compare(nodes, kinds, None).select("a", "b")
