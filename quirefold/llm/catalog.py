@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import table
+from quirefold.llm import garbled as garbled8
 from quirefold.llm import near_dup as near1
 from quirefold.llm import repeated_lines as lines4
 from quirefold.llm import sentences as sentences5
@@ -75,8 +76,20 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences5.sentences(_texts(spark, folder)).select("kind", "row_key", "char_end")
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled8.ungarbled(_documents(spark, folder)).filter("garbled").select(F.col("row_id").alias("doc_id"))
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled8.ungarbled(_documents(spark, folder)).withColumnRenamed("row_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:

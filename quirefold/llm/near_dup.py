@@ -40,6 +40,8 @@ POSITIONS = 64
 #: Bits of each minwise value that a sketch keeps, one 64-bit plane each.
 PLANES = 4
 BUCKETS = 1 << 16
+#: Pairs that a task holds back to drop repetitions.
+PAIR_BUFFER = 1_000_000
 KIND_BITS = np.uint64(3)
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) | np.uint64(1)
@@ -276,7 +278,7 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
     def pairs(path, rep, *planes):
         """Compare every row with those after it in its node, one distance at a time."""
         end = np.searchsorted(path, path, side="right")
-        need = np.array(least, np.int64)[(path & KIND_BITS).astype(np.int64)]
+        most = np.array([POSITIONS - x for x in least], np.uint8)[(path & KIND_BITS).astype(np.int64)]
         at = np.arange(len(path))
         got = []
         d = 1
@@ -285,19 +287,22 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
             if not len(at):
                 break
             other = at + d
-            differ = planes[0][at] ^ planes[0][other]
-            for plane in planes[1:]:
-                differ |= plane[at] ^ plane[other]
-            differ = np.bitwise_count(differ).astype(np.int64)
-            near = POSITIONS - differ >= need[at]
-            x, y = rep[at[near]], rep[other[near]]
+            # two planes exclude nearly all; further ones can only add differences
+            differ = (planes[0][at] ^ planes[0][other]) | (planes[1][at] ^ planes[1][other])
+            near = np.flatnonzero(np.bitwise_count(differ) <= most[at])
+            left, right = at[near], other[near]
+            differ = differ[near]
+            for plane in planes[2:]:
+                differ |= plane[left] ^ plane[right]
+            near = np.bitwise_count(differ) <= most[left]
+            x, y = rep[left[near]], rep[right[near]]
             got.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
             d += 1
         if not got:
             return np.empty((2, 0), np.int64)
         both = np.concatenate(got, axis=1)
         both = both[:, both[0] != both[1]]
-        return np.unique(both, axis=1) if both.shape[1] else both
+        return both
 
     def found(both):
         n = both.shape[1]
@@ -315,6 +320,7 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        near: list[np.ndarray] = []  # pairs of several batches: most are found in many nodes
         rows = 0
         big = None  # the node that is being passed on
 
@@ -323,6 +329,10 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
             nonlocal big
             path, rep, *planes, level = part
             out = []
+            if not len(path):
+                if near:
+                    out.append(found(np.unique(np.concatenate(near, axis=1), axis=1)))
+                return out, part
             cut = len(path) if last else int(np.searchsorted(path.view(np.int64), path.view(np.int64)[-1]))
             if limit is not None:
                 size = np.searchsorted(path.view(np.int64), path.view(np.int64), side="right") - np.searchsorted(path.view(np.int64), path.view(np.int64))
@@ -343,7 +353,10 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
             if here.any():
                 both = pairs(path[here], rep[here], *(x[here] for x in planes))
                 if both.shape[1]:
-                    out.append(found(both))
+                    near.append(both)
+            if near and (last or sum(x.shape[1] for x in near) > PAIR_BUFFER):
+                out.append(found(np.unique(np.concatenate(near, axis=1), axis=1)))
+                near.clear()
             return out, tuple(x[cut:] for x in part)
 
         for batch in batches:
@@ -492,7 +505,7 @@ def similar_records(rows: DataFrame, kinds: tuple[Kind, ...], plan: JoinPlan | N
         .filter(F.col("j") >= threshold)
         .select("kind", "a", "b")
     )
-    members = described.select("kind", "id", "rep").distinct()
+    members = staged(described.select("kind", "id", "rep").distinct())
     return Links(members, staged(checked))
 
 
