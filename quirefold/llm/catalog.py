@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.common import table
 from quirefold.llm import garbled as garbled8
+from quirefold.llm import lookalikes as looks3
 from quirefold.llm import near_dup as near1
 from quirefold.llm import repeated_lines as lines4
 from quirefold.llm import sentences as sentences5
@@ -56,6 +57,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).filter("piece_index = 0").select("kind", "row_key")
 
 
+def p3_one_form(spark: SparkSession, folder: str) -> DataFrame:
+    rows = looks3.page_and_toc_texts(table(spark, folder, "page_records"), table(spark, folder, "document_records"))
+    return looks3.one_form(rows)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_one_form(spark, folder).filter(F.size("forms") > 0).select("kind", "line_no", "toc_pos")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = lines4.repeated_lines(table(spark, folder, "page_records"))
     return found.select(F.col("row_id").alias("line_no"), F.col("pos").cast("long").alias("line_pos"))
@@ -89,7 +99,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_one_form": p3_one_form, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,11 +49,11 @@ MARK = re.compile(
     r"(?:[.!?…。！？؟।॥．｡]|(?<=[Ͱ-Ͽἀ-῿])[;;])"
     rf"(?:[.!?…。！？؟।॥．｡{re.escape(CLOSING)}]|[\"“](?=\s|$|[.,;:)」』）]))*"
 )
-THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎”])[^\S\n]+(?=[ก-ฺเ-๎“])|(?<=[ก-ฺเ-๎])\n(?=[ก-ฺเ-๎])(?!)")
+THAI_GAP = re.compile(r"(?<=[ก-\u0e3aเ-\u0e4e”])[^\S\n]+(?=[ก-\u0e3aเ-\u0e4e“])|(?<=[ก-\u0e3aเ-\u0e4e])\n(?=[ก-\u0e3aเ-\u0e4e])(?!)")
 QUOTE = re.compile(r"[“”„«»\"「」『』]")
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
 NO_SPACE_NEXT = re.compile(r"[⺀-鿿ぁ-ヿ豈-﫿\U00020000-\U0003ffff“「『（《【]")
-ZERO_WIDTH = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+ZERO_WIDTH = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
 BLOCK_END = "</b>"
 BLOCK_START = "<b>"
 
@@ -161,7 +161,7 @@ LATIN = {
     "es": (" el ", " los ", " y ", " una ", " del ", " fue "),
 }
 KANA = re.compile(r"[ぁ-ヿ]")
-THAI = re.compile(r"[ก-ฺ]")
+THAI = re.compile(r"[ก-\u0e3a]")
 
 
 def latin_group(text: str) -> str:
@@ -281,7 +281,7 @@ def events(text: str) -> list[tuple]:
 MID = re.compile(r" (?<=[^.!?…:;”\"»)\]|] )([^\W\d_a-z][^\W\d_]+)")
 MIDDLE = "^"
 #: The first word of a block that begins in Thai.
-THAI_START = re.compile(r"(?:^|\n\s*\n)\s*([ก-ฺเ-๎]\S*)")
+THAI_START = re.compile(r"(?:^|\n\s*\n)\s*([ก-\u0e3aเ-\u0e4e]\S*)")
 
 
 COUNT_DDL = "grp string, left string, right string, shape string, n long"

@@ -68,7 +68,7 @@ def _parts(word: str, limit: int) -> list[int]:
         if best is None:
             best = at + step
             back = best
-            while back > at + 1 and re.match(r"[̀-ͯัิ-ฺ็-๎ऺ-ॏ‌‍]", word[back]):
+            while back > at + 1 and re.match(r"[\u0300-\u036f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u093a-ॏ\u200c\u200d]", word[back]):
                 back -= 1
             best = back
         if best >= len(word):
