@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import table
 from quirefold.llm import garbled as garbled8
 from quirefold.llm import lookalikes as looks3
+from quirefold.llm import mixing as mixing7
 from quirefold.llm import near_dup as near1
+from quirefold.llm import packing as packing6
 from quirefold.llm import repeated_lines as lines4
 from quirefold.llm import sentences as sentences5
 from quirefold.llm import split as split2
 from quirefold.llm import sql
+from quirefold.llm import tokens
+from quirefold.session import staged
 
 
 #: The comparison that the test data state: three words and 0.5 for chunks of at
@@ -86,6 +90,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences5.sentences(_texts(spark, folder)).select("kind", "row_key", "char_end")
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("item_id"), "text")
+    return staged(tokens.with_sizes(rows))
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = packing6.read_capacities(table(spark, folder, "container_sizes"))
+    packed = packing6.pack_items(_sizes(spark, folder), capacities)
+    return packed.withColumn("item_id", F.col("item_id").cast("long")).withColumnRenamed("item_id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = packing6.read_capacities(table(spark, folder, "container_sizes"))
+    return packing6.fill_report(packing6.pack_items(_sizes(spark, folder), capacities), capacities)
+
+
+def _sourced(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "source", F.xxhash64("text").alias("text_key"), "text")
+    return staged(tokens.with_sizes(rows))
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing7.select_documents(_sourced(spark, folder), mixing7.read_targets(table(spark, folder, "source_targets")))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = mixing7.read_targets(table(spark, folder, "source_targets"))
+    return mixing7.share_report(mixing7.select_documents(_sourced(spark, folder), targets), targets)
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "text")
 
@@ -99,7 +133,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_one_form": p3_one_form, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_one_form": p3_one_form, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
