@@ -38,7 +38,10 @@ from quirefold.session import staged
 VOCABULARY, LEAST = 20_000, 15
 #: Weight of the shape's share in a left context's own share, of the common
 #: next-word distribution in its own, and rounds of expectation maximisation.
+#: Words of four letters or more lean on their shape more, lest one text that is
+#: repeated often passes for a rule.
 PRIOR, SMOOTH, ROUNDS = 4.0, 20.0, 8
+WORD_PRIOR, WORD_SMOOTH = 15.0, 100.0
 
 CLOSING = "”’»)]」』）】›》〉｝}"
 STRONG = "!?…。！？؟।॥｡"
@@ -102,7 +105,7 @@ def _right_key(token: str) -> str:
         return kind
     core = word.rstrip(",;:!?)”»\"’")
     if first.isupper() and len(core) > 1 and core.isalpha():
-        return core
+        return core.capitalize() if core.isupper() else core
     core = core.rstrip(".")
     if len(core) <= 3 and core.isalpha():
         return core
@@ -150,7 +153,7 @@ def _left_key(word: str, run: str) -> tuple[str | None, str, str, str | None]:
         key = shape
     else:
         key = clean(word)
-    return group, key + run, shape, key + run if len(key) <= 3 else None
+    return group, key + run, shape, key + run if key[0] == "#" or len(key) == 1 else None
 
 
 #: Frequent short words by which a text in Latin script is told from the others.
@@ -323,6 +326,11 @@ def count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def weights(left: str) -> tuple[float, float]:
+    word = left.rstrip(").")
+    return (WORD_PRIOR, WORD_SMOOTH) if len(word) > 3 and word.isalpha() else (PRIOR, SMOOTH)
+
+
 def after_word(left: str) -> bool:
     """Whether a left context is a word of four letters or more with a full stop."""
     return len(left) > 4 and left[-1] == "." and left[:-1].isalpha()
@@ -361,7 +369,8 @@ class Model:
             own = self.others.get((group, key))
             common = self.common.get(group, {})
             base = common.get(right) or common.get(_coarse(right)) or 1e-4
-            no = (own[1].get(right, 0.0) + SMOOTH * base) / (own[0] + SMOOTH) if own else base
+            smooth = weights(key)[1]
+            no = (own[1].get(right, 0.0) + smooth * base) / (own[0] + smooth) if own else base
             memo = (theta, yes / max(no, 1e-9))
             if starter:
                 memo = (max(theta, 0.5), max(memo[1], self.STARTER))
@@ -450,9 +459,6 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
     total = {k: sum(r.values()) for k, r in by.items()}
     # a first guess of the share of boundaries at block ends: the highest that a common context has
     top: dict[str, float] = {}
-    for (group, left), r in by.items():
-        if total[(group, left)] >= 30 and not left.endswith("*"):
-            top.setdefault(group, 0.0)
     for group in {g for g, _ in by}:
         ratios = sorted(
             ((r.get(BLOCK_END, 0.0) / total[k], total[k]) for k, r in by.items() if k[0] == group and not k[1].endswith("*") and "|" not in k[1]),
@@ -472,12 +478,13 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
     starts: dict[str, dict[str, float]] = {}
     common: dict[str, dict[str, float]] = {}
     others: dict[tuple[str, str], tuple[float, dict[str, float]]] = {}
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         yes: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         no: dict[tuple[str, str], dict[str, float]] = {}
         share = {}
         for key, r in by.items():
             group, left = key
+            smooth = weights(left)[1]
             start, base, own = starts.get(group), common.get(group), others.get(key)
             t, got = theta[key], 0.0
             rest: dict[str, float] = {}
@@ -496,7 +503,7 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
                     a = t * max(start.get(right, 0.0), 1e-5)
                     q = max(base.get(right, 0.0), 1e-5)
                     if own:
-                        q = (own[1].get(right, 0.0) + SMOOTH * q) / (own[0] + SMOOTH)
+                        q = (own[1].get(right, 0.0) + smooth * q) / (own[0] + smooth)
                     p = a / (a + (1 - t) * q)
                 got += p * n
                 rest[right] = (1 - p) * n
@@ -507,10 +514,8 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
         for group, r in yes.items():
             s = sum(r.values())
             starts[group] = {k: n / s for k, n in r.items()}
-            for k, n in list(starts[group].items()):
-                c = _coarse(k)
-                if c != k:
-                    starts[group].setdefault(c, 0.0)
+            for k in list(starts[group]):
+                starts[group].setdefault(_coarse(k), 0.0)
         gather: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         for (group, left), r in no.items():
             if left.endswith("*") and left != "*":
@@ -530,8 +535,8 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
                 continue
             up = theta.get((group, shape)) if shape else None
             up = theta.get((group, "*"), 0.5) if up is None else up
-            theta[key] = min(0.999, max(0.001, (share[key] + PRIOR * up) / (total[key] + PRIOR)))
-        del turn
+            prior = weights(left)[0]
+            theta[key] = min(0.999, max(0.001, (share[key] + prior * up) / (total[key] + prior)))
     return Model(theta, starts, others, common, frozenset(rights), frozenset(starters))
 
 
