@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import mix64, small_enough
@@ -207,13 +207,11 @@ def candidate_lines(rows: DataFrame, min_pages: int, capacity: int = CAPACITY, s
     """
     parts = rows.mapInArrow(summarise(capacity, slices), SUMMARY_DDL).repartition("src", "slice")
     merged = parts.groupBy("src", "slice", "line").agg(F.sum("n").alias("n"), F.sum("err").alias("err"))
-    errors = merged.filter("line IS NULL").select("src", "slice", F.col("err").alias("slice_err"))
+    # only rows with a null line have an error; the window reuses the partitioning
+    slice_err = F.sum("err").over(Window.partitionBy("src", "slice"))
     return (
-        merged.join(errors, ["src", "slice"], "left")
-        .filter(
-            (F.col("n") + F.coalesce("slice_err", F.lit(0)) >= min_pages)
-            | (F.col("line").isNull() & (F.col("err") >= min_pages))
-        )
+        merged.withColumn("slice_err", slice_err)
+        .filter(F.when(F.col("line").isNull(), F.col("err")).otherwise(F.col("n") + F.col("slice_err")) >= min_pages)
         .select("src", "slice", "line")
     )
 

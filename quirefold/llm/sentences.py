@@ -327,7 +327,7 @@ def count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def weights(left: str) -> tuple[float, float]:
-    word = left.rstrip(").")
+    word = left.rstrip(").~")
     return (WORD_PRIOR, WORD_SMOOTH) if len(word) > 3 and word.isalpha() else (PRIOR, SMOOTH)
 
 
@@ -355,7 +355,7 @@ class Model:
         if memo is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            for key in (two, left, shape + "*", "*"):
+            for key in (two, left, shape + "~", shape + "*", "*"):
                 theta = self.theta.get((group, key)) if key is not None else None
                 if theta is not None:
                     break
@@ -609,12 +609,22 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, rig
         .groupBy("grp", F.concat("shape", F.lit("*")).alias("left"), "right")
         .agg(F.sum("n").alias("n"))
     )
+    # words without an entry back off to what such words do, not to the common ones of their shape
+    rare = (
+        pooled.filter(~F.col("left").contains("|"))
+        .join(F.broadcast(kept.select("grp", "left")), ["grp", "left"], "left_anti")
+        .groupBy("grp", F.concat("shape", F.lit("~")).alias("left"), "right")
+        .agg(F.sum("n").alias("n"))
+    )
     data: Counter = Counter()
-    for group, left, right, n in named.unionByName(shapes).select("grp", "left", "right", "n").collect():
+    for group, left, right, n in named.unionByName(shapes).unionByName(rare).select("grp", "left", "right", "n").collect():
         data[(group, left, right if right in known or right == BLOCK_END else _coarse(right))] += n
     shape_of = {}
     for r in kept.collect():
         shape_of[(r["grp"], r["left"])] = r["shape"] + ("" if "|" in r["left"] else "*")
+    for group, left, _ in data:
+        if left.endswith("~"):
+            shape_of[(group, left)] = left[:-1] + "*"
     return fit([(*k, n) for k, n in data.items()], shape_of, known, starters, barred)
 
 
