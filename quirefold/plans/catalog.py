@@ -1,19 +1,310 @@
-"""The registered queries of the core and their SQL."""
+"""The registered queries of the core and their SQL.
+
+All run over the whole tables document_records and page_records, keyed by doc_id
+(repeated lines count once), except the line-stream queries, which take both
+tables' lines in line_no order as one JSONL stream.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quirefold.config import ChunkingConfig
+from quirefold.functions import rows as parts
+from quirefold.functions import text as fx
+from quirefold.functions.tokens import WORD_COUNTER
+from quirefold.operators import policy
+from quirefold.operators.sections import path_groups, section_paths
+from quirefold.plans import job, sql
+from quirefold.schemas import METADATA_FIELDS
+from quirefold.session import shared_folder
+from quirefold.sources import jsonl
+from quirefold.sources.tables import from_tables
+
+CREATED = "2024-03-01T00:00:00+00:00"
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _frames(spark: SparkSession, folder: str):
+    return from_tables(_table(spark, folder, "document_records"), _table(spark, folder, "page_records"))
+
+
+def _config(strategy: str, **options) -> ChunkingConfig:
+    return ChunkingConfig(**{"strategy": strategy, "max_tokens": 64, "overlap": 0, "min_chunk_tokens": 0, "tokenizer_model": WORD_COUNTER} | options)
+
+
+def _run(spark: SparkSession, folder: str, strategy: str, tokenizer: str | None = None, **options) -> job.Run:
+    documents, pages, orphans = _frames(spark, folder)
+    return job.run(documents, pages, _config(strategy, **options), orphans, tokenizer=tokenizer, splitter="marks")
+
+
+def _spans(chunks: DataFrame) -> DataFrame:
+    """Chunks with one row for each span."""
+    return chunks.select("chunk_id", "doc_id", "chunk_index", "token_count", F.posexplode("spans").alias("span_no", "s")).select(
+        "chunk_id", "doc_id", "chunk_index", "token_count", F.col("span_no").cast("long"), "s.page_index", "s.char_start", "s.char_end"
+    )
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/page_records.parquet").select("doc_id", "page_index")
+    return _run(spark, folder, "recursive", max_tokens=128, min_chunk_tokens=16).chunks.drop("doc_key")
+
+
+def page_chunks(spark, folder):
+    made = _run(spark, folder, "page").chunks
+    return made.select("chunk_id", "doc_id", "chunk_index", F.col("spans")[0]["page_index"].alias("page_index"), "token_count", "text")
+
+
+def word_offsets(spark, folder):
+    pages = _frames(spark, folder)[1].select("doc_id", "page_index", "text")
+    return parts.word_rows(pages)
+
+
+def token_count(spark, folder):
+    pages = _table(spark, folder, "page_records")
+    return pages.select("line_no", fx.word_count(F.col("text")).alias("token_count"), fx.is_blank(F.col("text")).alias("blank"))
+
+
+def fixed_tiles(spark, folder):
+    return _spans(_run(spark, folder, "fixed-size").chunks)
+
+
+def fixed_sliding(spark, folder):
+    return _spans(_run(spark, folder, "fixed-size", overlap=16).chunks)
+
+
+def fixed_cross_page(spark, folder):
+    return _spans(_run(spark, folder, "fixed-size", cross_page=True).chunks)
+
+
+def paragraphs(spark, folder):
+    return parts.paragraph_rows(_frames(spark, folder)[1].select("doc_id", "page_index", "text"))
+
+
+def sentence_spans(spark, folder):
+    return parts.sentence_rows(_frames(spark, folder)[1].select("doc_id", "page_index", "text"), splitter="marks")
+
+
+def sentence_counts(spark, folder):
+    pages = _table(spark, folder, "page_records")
+    return pages.select("line_no", F.size(fx.sentence_pieces(F.col("text"))).cast("long").alias("sentences"))
+
+
+def sentence_pack(spark, folder):
+    return _spans(_run(spark, folder, "sentence").chunks)
+
+
+def sentence_overlap(spark, folder):
+    return _spans(_run(spark, folder, "sentence", overlap=24).chunks)
+
+
+def recursive(spark, folder):
+    return _spans(_run(spark, folder, "recursive").chunks)
+
+
+def recursive_cross_page(spark, folder):
+    return _spans(_run(spark, folder, "recursive", cross_page=True, min_chunk_tokens=8).chunks)
+
+
+def section_index(spark, folder):
+    documents, pages, _ = _frames(spark, folder)
+    return section_paths(documents, pages).select(
+        F.col("doc_key").alias("doc_id"), "page_index", F.array_join("section_path", " > ").alias("section_path")
+    )
+
+
+def section_groups(spark, folder):
+    documents, pages, _ = _frames(spark, folder)
+    grouped = path_groups(pages.join(section_paths(documents, pages), ["doc_key", "page_index"], "left"))
+    return grouped.select("doc_id", "page_index", F.col("section_no").cast("long"))
+
+
+def section_chunks(spark, folder):
+    made = _run(spark, folder, "section", cross_page=True).chunks
+    return _spans(made).join(made.select("chunk_id", F.array_join("section_path", " > ").alias("section_path")), "chunk_id")
+
+
+def runt_merge(spark, folder):
+    return _spans(_run(spark, folder, "page", cross_page=True, min_chunk_tokens=32).chunks)
+
+
+def ocr_include(spark, folder):
+    made = _run(spark, folder, "page", on_ocr_needed="include").chunks
+    return made.select("chunk_id", "doc_id", "chunk_index", F.col("spans")[0]["page_index"].alias("page_index"), "token_count")
+
+
+def ocr_reasons(spark, folder):
+    pages = _frames(spark, folder)[1]
+    judge = lambda how: policy.with_reason(pages, _config("page", on_ocr_needed=how)).select("doc_id", "page_index", "reason")
+    return judge("skip").withColumnRenamed("reason", "under_skip").join(judge("include").withColumnRenamed("reason", "under_include"), ["doc_id", "page_index"])
+
+
+def skipped_pages(spark, folder):
+    return _run(spark, folder, "page").skipped.select("doc_id", "page_index", "reason")
+
+
+def run_stats(spark, folder):
+    return _run(spark, folder, "page").stats
+
+
+def source_doc_join(spark, folder):
+    made = _run(spark, folder, "page").chunks
+    return made.select("chunk_id", "source_doc.title", "source_doc.source_path")
+
+
+def chunk_ids(spark, folder):
+    return _run(spark, folder, "fixed-size").chunks.select("doc_id", "chunk_index", "chunk_id")
+
+
+def dedup_page_sort(spark, folder):
+    pages = _frames(spark, folder)[1]
+    return pages.select("doc_id", "page_index", F.col("seq").alias("line_no"), F.length("text").cast("long").alias("n_chars"))
+
+
+# line streams
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tables as JSON lines (line_no, value)."""
+    opts = {"ignoreNullFields": "false"}
+    docs = _table(spark, folder, "document_records")
+    meta = F.struct(*(F.coalesce(F.col(f"metadata.{n}"), F.lit("")).alias(n) for n in METADATA_FIELDS))
+    doc = F.struct("record_type", "doc_id", "source_path", "page_count", meta.alias("metadata"), F.coalesce("toc", F.array()).alias("toc"))
+    page = F.struct("record_type", "doc_id", "page_index", "page_label", "text", "needs_ocr")
+    return docs.select("line_no", F.to_json(doc, opts).alias("value")).unionByName(
+        _table(spark, folder, "page_records").select("line_no", F.to_json(page, opts).alias("value"))
+    )
+
+
+def _stream(spark: SparkSession, lines: DataFrame) -> jsonl.Records:
+    """The lines as one file of the shared folder, read as a stream of records."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.orderBy("line_no").select("value").coalesce(1).write.text(path)
+    return jsonl.read_records(spark, path)
+
+
+def orphans(spark, folder):
+    read = _stream(spark, _lines(spark, folder))
+    return read.orphans.select("doc_id", "page_index", F.col("seq").alias("stream_line"))
+
+
+def positional_pages(spark, folder):
+    read = _stream(spark, _lines(spark, folder))
+    owner = F.substring_index("doc_key", "#", -1).cast("long")
+    return read.pages.select("doc_id", "page_index", F.col("seq").alias("stream_line"), owner.alias("document_line"))
+
+
+def invalid_lines(spark, folder):
+    """Every seventh line is cut in the middle, every eleventh has a negative number."""
+    lines = _lines(spark, folder)
+    spoilt = (
+        F.when(F.col("line_no") % 7 == 0, F.expr("substring(value, 1, length(value) div 2)"))
+        .when(F.col("line_no") % 11 == 0, F.regexp_replace("value", '"(page_index|page_count)":\\d+,"(page_label|metadata)"', '"$1":-1,"$2"'))
+        .otherwise(F.col("value"))
+    )
+    return _stream(spark, lines.withColumn("value", spoilt)).bad_lines.select("line_no")
+
+
+def jsonl_roundtrip(spark, folder):
+    read = _stream(spark, _lines(spark, folder))
+    cfg = _config("page")
+    made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    jsonl.write_lines(made, cfg, path, CREATED)
+    back = spark.read.schema(made.chunks.drop("doc_key").schema).json(f"{path}/part-*")
+    return back.select("chunk_id", "doc_id", "chunk_index", "token_count", F.col("spans")[0]["char_end"].alias("char_end"))
+
+
+def manifest(spark, folder):
+    read = _stream(spark, _lines(spark, folder))
+    cfg = _config("page")
+    made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
+    line = jsonl.manifest_line(spark, cfg, made.stats, made.skipped, made.documents, CREATED)
+    kind = "record_type string, created_at string, config struct<strategy: string>, stats struct<documents_seen: long, pages_seen: long, pages_chunked: long, chunks_written: long, invalid_lines: long>, skipped_pages array<struct<doc_id: string, page_index: long, reason: string>>"
+    x = line.select(F.from_json("value", kind).alias("m"))
+    return x.select("m.record_type", "m.created_at", "m.config.strategy", "m.stats.*", F.size("m.skipped_pages").cast("long").alias("skipped"))
+
+
+def word_level_tokenizer() -> str:
+    """A tokenizer.json that gives one token for each white-space word."""
+    return json.dumps(
+        {
+            "version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None,
+            "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None,
+            "model": {"type": "WordLevel", "vocab": {"[UNK]": 0}, "unk_token": "[UNK]"},
+        }
+    )
+
+
+def file_tokenizer(spark, folder):
+    return _spans(_run(spark, folder, "fixed-size", overlap=16, tokenizer=word_level_tokenizer()).chunks)
+
+
+def streaming_assembly(spark, folder):
+    from quirefold.streaming.assembly import run_available
+
+    lines = _lines(spark, folder)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(f"{base}/in")
+    run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state", _config("page"))
+    return spark.read.parquet(f"{base}/out/chunks").select("chunk_id", "doc_id", "chunk_index", "token_count")
+
+
+def views(spark, folder):
+    """SQL over the output frames: chunks and tokens by section depth."""
+    made = _run(spark, folder, "page")
+    made.register("qf_")
+    return spark.sql(
+        "SELECT CAST(size(section_path) AS BIGINT) AS depth, count(*) AS chunks, sum(token_count) AS tokens FROM qf_chunks GROUP BY 1"
+    )
+
+
+QUERIES = {
+    "q01_page_chunks": page_chunks,
+    "q02_word_offsets": word_offsets,
+    "q03_token_count": token_count,
+    "q04_fixed_tiles": fixed_tiles,
+    "q05_fixed_sliding": fixed_sliding,
+    "q06_fixed_cross_page": fixed_cross_page,
+    "q07_paragraphs": paragraphs,
+    "q08_sentence_spans": sentence_spans,
+    "q08b_sentence_counts": sentence_counts,
+    "q09_sentence_pack": sentence_pack,
+    "q10_sentence_overlap": sentence_overlap,
+    "q11_recursive": recursive,
+    "q11b_recursive_cross_page": recursive_cross_page,
+    "q12_section_index": section_index,
+    "q12b_section_groups": section_groups,
+    "q13_section_chunks": section_chunks,
+    "q14_runt_merge": runt_merge,
+    "q15_ocr_reasons": ocr_reasons,
+    "q16_ocr_include": ocr_include,
+    "q17_skipped_pages": skipped_pages,
+    "q18_orphans": orphans,
+    "q18b_positional_pages": positional_pages,
+    "q19_run_stats": run_stats,
+    "q20_source_doc_join": source_doc_join,
+    "q21_chunk_ids": chunk_ids,
+    "q22_jsonl_roundtrip": jsonl_roundtrip,
+    "q23_manifest": manifest,
+    "q24_invalid_lines": invalid_lines,
+    "q25_file_tokenizer": file_tokenizer,
+    "q26_dedup_page_sort": dedup_page_sort,
+    "q27_streaming_assembly": streaming_assembly,
+    "q28_views": views,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
