@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import mix64
+from quirefold.llm.common import mix64, small_enough
 from quirefold.session import staged
 
 POSITIONS = 64
 #: Bits of each minwise value that a sketch keeps, one 64-bit plane each.
 PLANES = 4
 BUCKETS = 1 << 16
+#: Representatives whose texts are looked up by broadcast (20 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Pairs that a task holds back to drop repetitions.
 PAIR_BUFFER = 1_000_000
 KIND_BITS = np.uint64(3)
@@ -60,10 +62,10 @@ class Kind:
 
     @property
     def least_matches(self) -> int:
-        """Of the 64 four-bit symbols of a sketch, so many must agree: three and a half
-        deviations below what a pair at the threshold has on average."""
+        """Of the 64 four-bit symbols of a sketch, so many must agree: three deviations
+        below what a pair at the threshold has on average."""
         p = self.threshold + (1 - self.threshold) / (1 << PLANES)
-        return max(1, int(POSITIONS * p - 3.5 * (POSITIONS * p * (1 - p)) ** 0.5))
+        return max(1, int(POSITIONS * p - 3.0 * (POSITIONS * p * (1 - p)) ** 0.5))
 
 
 @dataclass(frozen=True)
@@ -447,18 +449,16 @@ def _blocks(done: DataFrame, signed: DataFrame, kinds: tuple[Kind, ...], plan: J
 
 
 def shingle_sets(kinds: tuple[Kind, ...]):
-    """(kind, rep, text) -> (rep, set of shingle hashes)."""
+    """(kind, rep, text) -> (kind, rep, set of shingle hashes)."""
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            reps, sets = [], []
-            for kind, rep, text in rows:
+            sets = []
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 h, _ = shingles([text], kinds[kind], cache)
-                reps.append(rep)
                 sets.append(np.unique(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "items"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], names=["kind", "rep", "items"])
 
     return run
 
@@ -483,25 +483,19 @@ def similar_records(rows: DataFrame, kinds: tuple[Kind, ...], plan: JoinPlan | N
     )
     pairs = staged(candidate_pairs(reps, kinds, plan))
     named = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    texts = (
-        reps.select("kind", "rep", "row_no")
-        .join(named, "rep", "left_semi")
-        .join(rows.select("kind", "row_no", "text"), ["kind", "row_no"])
-        .select("kind", "rep", "text")
-    )
-    sets = staged(texts.mapInArrow(shingle_sets(kinds), "rep long, items array<long>").dropDuplicates(["rep"]))
+    wanted = staged(reps.select("kind", "rep", "row_no").join(named, "rep", "left_semi"))
+    # with few representatives to look up, their texts are filtered where they are read
+    hint = F.broadcast if small_enough(wanted, BROADCAST_ROWS) else (lambda x: x)
+    texts = rows.select("kind", "row_no", "text").join(hint(wanted), ["kind", "row_no"]).select("kind", "rep", "text")
+    sets = staged(texts.mapInArrow(shingle_sets(kinds), "kind int, rep long, items array<long>").dropDuplicates(["rep"]))
     threshold = F.element_at(F.array(*(F.lit(k.threshold) for k in kinds)), F.col("kind") + 1)
-    a = sets.select(F.col("rep").alias("a"), F.col("items").alias("xs"))
+    a = sets.select("kind", F.col("rep").alias("a"), F.col("items").alias("xs"))
     b = sets.select(F.col("rep").alias("b"), F.col("items").alias("ys"))
-    both = F.size(F.array_intersect("xs", "ys"))
-    kind_of = reps.select(F.col("rep").alias("a"), "kind")
     checked = (
         pairs.join(a, "a")
         .join(b, "b")
-        .withColumn("both", both)
+        .withColumn("both", F.size(F.array_intersect("xs", "ys")))
         .withColumn("j", F.col("both") / (F.size("xs") + F.size("ys") - F.col("both")))
-        .select("a", "b", "j")
-        .join(kind_of, "a")
         .filter(F.col("j") >= threshold)
         .select("kind", "a", "b")
     )
