@@ -217,3 +217,5 @@ SELECT 'manifest' AS record_type, '2024-03-01T00:00:00+00:00' AS created_at, 'pa
     "q28_views": f"""WITH {BASE}, {_SECTIONS} SELECT CASE WHEN section_path IS NULL THEN 0 ELSE len(string_split(section_path, ' > ')) END AS depth, count(*) AS chunks, CAST(sum(n_words) AS BIGINT) AS tokens
 FROM usable LEFT JOIN sections USING (doc_id, page_index) GROUP BY 1""",
 }
+ORACLES["q27_streaming_assembly"] = f"""WITH {BASE} SELECT printf('%s::c%04d', doc_id, chunk_index) AS chunk_id, doc_id, chunk_index, n_words AS token_count
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS chunk_index FROM usable)"""

@@ -135,7 +135,7 @@ def chunk_lines(chunks: DataFrame) -> DataFrame:
 def ordered_skips(skipped: DataFrame, documents: DataFrame) -> DataFrame:
     """Skips in the order a reader of the stream learns of them: an orphan at its own
     line, a document's pages when the next document begins, in page order."""
-    line = F.substring_index("doc_key", "#", -1).cast("long")
+    line = F.substring_index("doc_key", "#", -1).try_cast("long")
     file = F.substring_index("doc_key", "#", 1)
     nexts = documents.select(
         "doc_key", F.coalesce(F.lead(line).over(Window.partitionBy(file).orderBy(line)), F.lit(2**62)).alias("closes")
@@ -144,7 +144,7 @@ def ordered_skips(skipped: DataFrame, documents: DataFrame) -> DataFrame:
         skipped.join(nexts, "doc_key", "left")
         .withColumn("at", F.coalesce("closes", "seq"))
         .withColumn("group", F.col("doc_key").isNotNull())
-        .orderBy("at", "group", "page_index", "seq")
+        .orderBy("at", "group", "doc_key", "page_index", "seq")
     )
 
 
@@ -161,11 +161,15 @@ def manifest(cfg, stats: dict, skipped: list[dict], created_at: str) -> dict:
 
 
 def manifest_line(spark: SparkSession, cfg, stats: DataFrame, skipped: DataFrame, documents: DataFrame, created_at: str) -> DataFrame:
-    """The manifest as one JSON line (column value), made on the executors."""
+    """The manifest as one JSON line (column value), made on the executors.
+
+    The format wants all skipped pages in this line; where they are too many for
+    that, read the run's ``skipped`` frame instead.
+    """
     lit = lambda v: F.lit(v)
     listed = (
         ordered_skips(skipped, documents)
-        .select(F.struct("at", "group", "page_index", "seq").alias("k"), F.struct("doc_id", "page_index", "reason").alias("s"))
+        .select(F.struct("at", "group", "doc_key", "page_index", "seq").alias("k"), F.struct("doc_id", "page_index", "reason").alias("s"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("skipped_pages"))
     )
     row = stats.select(F.struct(*stats.columns).alias("stats")).crossJoin(listed)  # one row each
