@@ -20,8 +20,8 @@ from quirefold.functions import tokens as tok
 from quirefold.functions.sentences import SPLITTERS
 from quirefold.operators.kernels import Page, Tools, segment
 from quirefold.operators.numbering import chunk_id, running_before
-from quirefold.operators.sections import section_paths
 from quirefold.schemas import SPAN_DDL
+from quirefold.session import staged
 
 PIECE_DDL = f"doc_key string, position bigint, ord bigint, text string, token_count bigint, spans array<{SPAN_DDL}>, section_path array<string>"
 _SPAN = pa.struct([("page_index", pa.int64()), ("page_label", pa.string()), ("char_start", pa.int64()), ("char_end", pa.int64())])
@@ -78,65 +78,61 @@ def has_repeats(pages: DataFrame) -> bool:
     return not pages.groupBy("doc_key", "page_index").count().filter("count > 1").isEmpty()
 
 
-def pieces(pages: DataFrame, documents: DataFrame, cfg: ChunkingConfig, tokenizer: str = tok.WORD_COUNTER, splitter: str = "abbreviations") -> DataFrame:
-    """Pieces (PIECE_DDL) of pages with a ``reason`` column; position and ord give their order."""
-    paths = section_paths(documents, pages)
-    by_page = not cfg.cross_page
+def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer: str = tok.WORD_COUNTER, splitter: str = "abbreviations") -> DataFrame:
+    """Pieces (PIECE_DDL) of pages with a ``reason`` column, as a stored table.
+
+    position and ord give their order. ``paths`` (see section_paths) is used here
+    only across pages, where a section bounds what is joined.
+    """
     rows = pages.withColumn("usable", F.col("reason").isNull())
+    by_page = not cfg.cross_page
     if by_page:
+        rows = rows.withColumn("section_path", F.lit(None).cast("array<string>"))
         # skipped rows stay only where a usable row of the same page may need their text
         if has_repeats(pages):
             rows = rows.repartition("doc_key", "page_index").sortWithinPartitions("doc_key", "page_index", "seq")
         else:
             rows = rows.filter("usable")
-        rows = rows.withColumn("section_path", F.lit(None).cast("array<string>"))
-        cut = rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter, True), PIECE_DDL)
-        return (
-            cut.drop("section_path")
-            .join(paths.withColumnRenamed("page_index", "position"), ["doc_key", "position"], "left")
-            .withColumn("section_path", F.coalesce("section_path", F.array().cast("array<string>")))
+    else:
+        rows = (
+            rows.join(paths, ["doc_key", "page_index"], "left")
+            .repartition("doc_key")
+            .sortWithinPartitions("doc_key", "page_index", "seq")
         )
-    rows = (
-        rows.join(paths, ["doc_key", "page_index"], "left")
-        .repartition("doc_key")
-        .sortWithinPartitions("doc_key", "page_index", "seq")
-    )
-    return rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter, False), PIECE_DDL)
+    return staged(rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter, by_page), PIECE_DDL))
 
 
-def numbered(cut: DataFrame) -> DataFrame:
-    """``cut`` with chunk_index: 0-based and without gaps in each document."""
-    # pieces of a unit are few next to its text; units are numbered in blocks
-    units = cut.groupBy("doc_key", "position").agg(F.count("*").alias("_n"))
-    return (
-        cut.join(running_before(units, ["doc_key"], "position", "_n", "_first"), ["doc_key", "position"])
-        .withColumn("chunk_index", (F.col("_first") + F.col("ord")).cast("long"))
-        .drop("_first", "_n")
-    )
-
+def chunks(cut: DataFrame, documents: DataFrame, cfg: ChunkingConfig, paths: DataFrame) -> DataFrame:
+    """Chunk rows in the order of CHUNK_COLUMNS, plus doc_key.
 
-def chunks(cut: DataFrame, documents: DataFrame, cfg: ChunkingConfig) -> DataFrame:
-    """Chunk rows in the order of CHUNK_COLUMNS, plus doc_key."""
+    What a chunk gets from its document and page is put together for the units
+    first, which have no text, so the text is joined once, by (document, position).
+    """
     source = documents.select(
         "doc_key", "doc_id",
         F.struct(F.coalesce("metadata.Title", F.lit("")).alias("title"), F.col("source_path").alias("source_path")).alias("source_doc"),
     )
-    return (
-        numbered(cut)
-        .join(source, "doc_key")
-        .select(
-            "doc_key",
-            F.lit("chunk").alias("record_type"),
-            F.lit(SCHEMA_VERSION).alias("schema_version"),
-            chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
-            "doc_id",
-            "chunk_index",
-            "text",
-            F.lit(cfg.strategy).alias("strategy"),
-            "token_count",
-            F.lit(cfg.tokenizer_model).alias("tokenizer_model"),
-            "spans",
-            "section_path",
-            "source_doc",
-        )
+    units = cut.groupBy("doc_key", "position").agg(F.count("*").alias("_n"))
+    units = running_before(units, ["doc_key"], "position", "_n", "_first").drop("_n").join(source, "doc_key")
+    if cfg.cross_page:
+        path = F.col("section_path")
+    else:
+        cut = cut.drop("section_path")
+        units = units.join(paths.withColumnRenamed("page_index", "position"), ["doc_key", "position"], "left")
+        path = F.coalesce("section_path", F.array().cast("array<string>"))
+    index = (F.col("_first") + F.col("ord")).cast("long")
+    return cut.join(units, ["doc_key", "position"]).select(
+        "doc_key",
+        F.lit("chunk").alias("record_type"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        chunk_id(F.col("doc_id"), index).alias("chunk_id"),
+        "doc_id",
+        index.alias("chunk_index"),
+        "text",
+        F.lit(cfg.strategy).alias("strategy"),
+        "token_count",
+        F.lit(cfg.tokenizer_model).alias("tokenizer_model"),
+        "spans",
+        path.alias("section_path"),
+        "source_doc",
     )

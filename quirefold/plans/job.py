@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quirefold.config import ChunkingConfig
 from quirefold.functions import tokens as tok
 from quirefold.operators import policy, segments
+from quirefold.operators.sections import section_paths
+from quirefold.schemas import DOCUMENTS, PAGES
 
 
 @dataclass
@@ -73,12 +75,18 @@ def run(
 ) -> Run:
     """Cut pages (schemas.PAGES) of documents (schemas.DOCUMENTS) into chunks.
 
+    The pieces are cut at once and stored in the shared folder; the frames of the
+    result read them from there.
     ``tokenizer`` defaults to the config's model, resolved once on the driver.
     Raises SegmentationError for a scanned page under the error policy.
     """
     cfg = cfg or ChunkingConfig()
     shipped = tok.resolve(tokenizer or cfg.tokenizer_model)
+    # further columns of the frames are not looked at
+    documents = documents.select(*(f.name for f in DOCUMENTS))
+    pages = pages.select(*(f.name for f in PAGES))
     policy.refuse_scans(pages, cfg)
     judged = policy.with_reason(pages, cfg)
-    made = segments.chunks(segments.pieces(judged, documents, cfg, shipped, splitter), documents, cfg)
+    paths = section_paths(documents, judged)
+    made = segments.chunks(segments.pieces(judged, cfg, paths, shipped, splitter), documents, cfg, paths)
     return Run(documents, judged, made, skipped_pages(judged, orphans), run_stats(documents, judged, made, invalid))

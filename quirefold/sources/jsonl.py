@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from quirefold.config import SegmentationError
 from quirefold.constants import ENGINE_NAME, ENGINE_VERSION, SCHEMA_VERSION
 from quirefold.schemas import CHUNK_COLUMNS, DOCUMENTS, PAGES
-from quirefold.session import staged
+from quirefold.session import small_or_shuffled, staged
 from quirefold.sources.records import read_line
 
 _DOC = T.StructType([f for f in DOCUMENTS.fields if f.name != "doc_key"])
@@ -118,7 +118,7 @@ def read_records(spark: SparkSession, path: str | list[str], strict: bool = Fals
     pages = rows.filter("kind = 'page'").select(
         F.when(F.col("doc_line").isNotNull(), key("doc_line")).alias("doc_key"), F.col("line_no").alias("seq"), "page.*"
     )
-    owners = documents.select("doc_key", F.col("doc_id").alias("owner"))
+    owners = small_or_shuffled(documents.select("doc_key", F.col("doc_id").alias("owner")))
     owned = pages.join(owners, "doc_key", "left").withColumn("own", F.coalesce(F.col("owner") == F.col("doc_id"), F.lit(False)))
     columns = [f.name for f in PAGES]
     return Records(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.schemas import METADATA_FIELDS
+from quirefold.session import small_or_shuffled
 
 
 def from_tables(document_records: DataFrame, page_records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -31,5 +32,6 @@ def from_tables(document_records: DataFrame, page_records: DataFrame) -> tuple[D
             "x.page_label", "x.text", "x.needs_ocr",
         )
     )
-    known = documents.select("doc_key")
+    # text rows meet the documents by broadcast while these are few; a large document is no hot key then
+    known = small_or_shuffled(documents.select("doc_key"))
     return documents, pages.join(known, "doc_key", "left_semi"), pages.join(known, "doc_key", "left_anti")

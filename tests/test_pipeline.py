@@ -205,6 +205,18 @@ def test_results_do_not_depend_on_partitions(spark):
     assert one == sorted(map(str, run(d.repartition(3), p.repartition(5), cfg).chunks.collect())) and one
 
 
+def test_nulls_and_clashing_columns(spark):
+    d, p = frames(spark, [doc(pages=3)], [page(index=i) for i in range(3)])
+    more = {n: F.lit(1) for n in ("reason", "usable", "section_path", "position", "_n", "chunk_index", "x")}
+    p = p.withColumns({"text": F.when(F.col("page_index") != 1, F.col("text")), "needs_ocr": F.lit(None).cast("boolean")}).withColumns(more)
+    d = d.withColumns({"toc": F.lit(None).cast(d.schema["toc"].dataType), "metadata": F.lit(None).cast(d.schema["metadata"].dataType)} | more)
+    for cross in (False, True):
+        made = run(d, p, config("recursive", cross_page=cross))
+        assert made.chunks.count() == (1 if cross else 2)
+        assert [tuple(r) for r in made.skipped.select("page_index", "reason").collect()] == [(1, "empty_text")]
+        assert made.chunks.first().source_doc.title == ""
+
+
 def test_empty_frames(spark):
     d, p = frames(spark, [], [])
     for cross in (False, True):
