@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -50,13 +51,14 @@ BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 #: quotation mark closes only before white space, an end, or more punctuation.
 MARK = re.compile(
     r"(?:[.!?…。！？؟।॥．｡]|(?<=[Ͱ-Ͽἀ-῿])[;;])"
-    rf"(?:[.!?…。！？؟।॥．｡{re.escape(CLOSING)}]|[\"“](?=\s|$|[.,;:)」』）]))*"
+    rf"(?:[.!?…。！？؟।॥．｡{re.escape(CLOSING)}]|[\"“](?=\s|$|[.,;:)」』）]))*[\u200b-\u200d\u2060\ufeff\u00ad]*"
 )
-THAI_GAP = re.compile(r"(?<=[ก-\u0e3aเ-\u0e4e”])[^\S\n]+(?=[ก-\u0e3aเ-\u0e4e“])|(?<=[ก-\u0e3aเ-\u0e4e])\n(?=[ก-\u0e3aเ-\u0e4e])(?!)")
+THAI_GAP = re.compile(r"(?<=[ก-\u0e3aเ-\u0e4e”])[^\S\n]+(?=[ก-\u0e3aเ-\u0e4e“])")
 QUOTE = re.compile(r"[“”„«»\"「」『』]")
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
 NO_SPACE_NEXT = re.compile(r"[⺀-鿿ぁ-ヿ豈-﫿\U00020000-\U0003ffff“「『（《【]")
 ZERO_WIDTH = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
+HIDDEN = frozenset(map(chr, ZERO_WIDTH))
 BLOCK_END = "</b>"
 BLOCK_START = "<b>"
 
@@ -205,6 +207,12 @@ def quoted(text: str, begin: int, end: int, first: bool, last: bool) -> list[tup
     return out
 
 
+def within(stretches: list[tuple[int, int]], at: int) -> bool:
+    """Whether a position lies in one of the stretches, which are in order and apart."""
+    i = bisect_left(stretches, (at,)) - 1
+    return i >= 0 and at <= stretches[i][1]
+
+
 def events(text: str) -> list[tuple]:
     """Events in order: (position after mark and closers, group, left context, shape,
     left context with the word before, next word, is it evidence).
@@ -233,6 +241,8 @@ def events(text: str) -> list[tuple]:
             for m in MARK.finditer(text, b, e):
                 start, p = m.span()
                 run = m.group()
+                if run[-1] in HIDDEN:
+                    run = run.translate(ZERO_WIDTH)
                 if p < e:
                     nxt = text[p]
                     if nxt.isspace():
@@ -242,7 +252,7 @@ def events(text: str) -> list[tuple]:
                         right = right_key(nxt)
                     else:
                         continue
-                    if inside and any(x < p <= y for x, y in inside):
+                    if inside and within(inside, p):
                         continue
                 else:
                     right = BLOCK_END
@@ -264,7 +274,7 @@ def events(text: str) -> list[tuple]:
                 gaps = [
                     (m.start(), "T", " ", " ", None, right_key(text[m.end() : m.end() + 40].split(None, 1)[0]), True)
                     for m in THAI_GAP.finditer(text, b, e)
-                    if not (inside and any(x < m.start() <= y for x, y in inside))
+                    if not (inside and within(inside, m.start()))
                 ]
                 if gaps:
                     found = sorted(found + gaps)
