@@ -18,7 +18,7 @@ from quirefold.config import ChunkingConfig
 from quirefold.functions import rows as parts
 from quirefold.functions import text as fx
 from quirefold.functions.tokens import WORD_COUNTER
-from quirefold.operators import policy
+from quirefold.operators import policy, units
 from quirefold.operators.sections import path_groups, section_paths
 from quirefold.plans import job, sql
 from quirefold.schemas import METADATA_FIELDS
@@ -266,6 +266,39 @@ def views(spark, folder):
     )
 
 
+def unit_text_segments(spark, folder):
+    pages = _frames(spark, folder)[1]
+    return units.unit_segments(pages, cross_page=True).select(F.col("doc_key").alias("doc_id"), "page_index", "g_start", "g_end")
+
+
+def unit_texts(spark, folder):
+    return units.unit_texts(_frames(spark, folder)[1], cross_page=True).select(F.col("doc_key").alias("doc_id"), "text")
+
+
+def token_windows(spark, folder):
+    pages = _frames(spark, folder)[1].select("doc_id", "page_index", fx.word_count(F.col("text")).alias("n_tokens"))
+    return units.token_windows(pages, 64, 16)
+
+
+def range_spans(spark, folder):
+    """Provenance of ranges of 500 characters of the joined texts."""
+    pages = _frames(spark, folder)[1]
+    size = units.unit_texts(pages, cross_page=True).select("doc_key", "unit", F.length("text").cast("long").alias("size"))
+    ranges = size.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("size div 500")))).select(
+        "doc_key", "unit", "range_no", (F.col("range_no") * 500).alias("s"), F.least(F.col("range_no") * 500 + 500, F.col("size")).alias("e")
+    )
+    parts_ = units.spans_of_ranges(ranges, units.unit_segments(pages, cross_page=True))
+    return parts_.select(F.col("doc_key").alias("doc_id"), "range_no", "page_index", "char_start", "char_end")
+
+
+def rebuilt_texts(spark, folder):
+    """Chunks whose text, rebuilt from their spans, differs (none), and all others, counted."""
+    documents, pages, _ = _frames(spark, folder)
+    made = job.run(documents, pages, _config("fixed-size", cross_page=True, min_chunk_tokens=8), splitter="marks").chunks
+    back = units.span_texts(made, pages).withColumnRenamed("text", "rebuilt")
+    return made.join(back, "chunk_id").groupBy((F.col("text") == F.col("rebuilt")).alias("equal")).agg(F.count("*").alias("chunks"))
+
+
 QUERIES = {
     "q01_page_chunks": page_chunks,
     "q02_word_offsets": word_offsets,
@@ -299,6 +332,11 @@ QUERIES = {
     "q26_dedup_page_sort": dedup_page_sort,
     "q27_streaming_assembly": streaming_assembly,
     "q28_views": views,
+    "q29_unit_segments": unit_text_segments,
+    "q30_unit_texts": unit_texts,
+    "q31_token_windows": token_windows,
+    "q32_range_spans": range_spans,
+    "q33_rebuilt_texts": rebuilt_texts,
 }
 
 

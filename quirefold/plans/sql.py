@@ -219,3 +219,17 @@ FROM usable LEFT JOIN sections USING (doc_id, page_index) GROUP BY 1""",
 }
 ORACLES["q27_streaming_assembly"] = f"""WITH {BASE} SELECT printf('%s::c%04d', doc_id, chunk_index) AS chunk_id, doc_id, chunk_index, n_words AS token_count
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) - 1 AS chunk_index FROM usable)"""
+
+_SEGMENTS = """
+seg AS (SELECT doc_id, page_index, length(text) AS len, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM pg),
+whole AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY page_index) AS text FROM pg GROUP BY doc_id)"""
+ORACLES["q29_unit_segments"] = f"WITH {BASE}, {_SEGMENTS} SELECT doc_id, page_index, g AS g_start, g + len AS g_end FROM seg"
+ORACLES["q30_unit_texts"] = f"WITH {BASE}, {_SEGMENTS} SELECT doc_id, text FROM whole"
+ORACLES["q31_token_windows"] = f"""WITH {BASE}, n AS (SELECT doc_id, page_index, len(regexp_extract_all(text, '{NON_WS}+')) AS n_tokens FROM pg),
+w AS (SELECT *, unnest(range(CAST(1 + ceil(greatest(n_tokens - 64, 0) / 48.0) AS BIGINT))) AS window_no FROM n WHERE n_tokens > 0)
+SELECT doc_id, page_index, n_tokens, window_no, window_no * 48 AS first_token, least(window_no * 48 + 64, n_tokens) - 1 AS last_token FROM w"""
+ORACLES["q32_range_spans"] = f"""WITH {BASE}, {_SEGMENTS},
+r AS (SELECT doc_id, length(text) AS size, unnest(range(length(text) // 500 + 1)) AS range_no FROM whole),
+x AS (SELECT doc_id, range_no, range_no * 500 AS s, least(range_no * 500 + 500, size) AS e FROM r)
+SELECT doc_id, range_no, page_index, greatest(s, g) - g AS char_start, least(e, g + len) - g AS char_end
+FROM x JOIN seg USING (doc_id) WHERE g < e AND s < g + len"""
