@@ -56,9 +56,11 @@ MARK = re.compile(
 THAI_GAP = re.compile(r"(?<=[ก-\u0e3aเ-\u0e4e”])[^\S\n]+(?=[ก-\u0e3aเ-\u0e4e“])")
 QUOTE = re.compile(r"[“”„«»\"「」『』]")
 PAIRS = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}
-NO_SPACE_NEXT = re.compile(r"[⺀-鿿ぁ-ヿ豈-﫿\U00020000-\U0003ffff“「『（《【]")
+NO_SPACE_NEXT = re.compile(r"[0-9０-９⺀-鿿ぁ-ヿ豈-﫿\U00020000-\U0003ffff“「『（《【]")
 ZERO_WIDTH = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad"))
 HIDDEN = frozenset(map(chr, ZERO_WIDTH))
+#: Marks that need no space after them.
+EAST = frozenset("。！？｡")
 BLOCK_END = "</b>"
 BLOCK_START = "<b>"
 
@@ -248,7 +250,7 @@ def events(text: str) -> list[tuple]:
                     if nxt.isspace():
                         token = text[p : p + 40].split(None, 1)
                         right = right_key(token[0]) if token else "-"
-                    elif (run[0] in "。！？｡…" or run[-1] in "。！？｡…") and NO_SPACE_NEXT.match(nxt):
+                    elif not EAST.isdisjoint(run) or "…" in run and NO_SPACE_NEXT.match(nxt):
                         right = right_key(nxt)
                     else:
                         continue

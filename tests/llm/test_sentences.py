@@ -11,7 +11,7 @@ ENGLISH = [
     "{n} wrote: “The seam failed. Nobody saw it.”", "It rose from {d}.5 to {d}.75 units!", "“Was it sold?” asked nobody in {n}... or so {n} said.",
     "Prof. {n} of St. {n} filed it.",
 ]
-CHINESE = ["安河的水闸长{d}.5米，需要清理。", "林云说：“大坝坏了。没有人知道。”", "“桥梁加固了吗？”河丰在湾龙问道。", "水泵是否已经检查？", "他记下了合同……随后离开了。"]
+CHINESE = ["{y}年，丰石的轨道由南林负责。", "安河的水闸长{d}.5米，需要清理。", "林云说：“大坝坏了。没有人知道。”", "“桥梁加固了吗？”河丰在湾龙问道。", "水泵是否已经检查？", "他记下了合同……随后离开了。"]
 THAI = ["คลองใหม่ที่แก้วไผ่ถูกเปลี่ยนโดยบ้านบ้าน", "ในหนองนามีวาล์วเก่า {d} แห่งที่ถูกซ่อม", "หนองนาบันทึกว่าโกดังถูกขายแล้ว"]
 
 
