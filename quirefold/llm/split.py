@@ -7,7 +7,8 @@ keeps both limits, and a piece after the first begins ``overlap_words`` words
 before the cut.
 
 Defined results
-  * a text within both limits, a null text and a blank text give no pieces;
+  * a text within both limits and a null text give no pieces; a blank text above
+    the limits gives one empty piece;
   * words are cut only if one alone exceeds ``max_chars``; its parts, preferably
     ending at a sentence mark, then count as words for the overlap;
   * where the asked overlap would leave no room for a new word, the longest
@@ -112,7 +113,7 @@ def pieces(text: str, limits: Limits) -> list[tuple[int, int]]:
     s, e, edge = atoms(text, limits.max_chars)
     n = len(s)
     if not n:
-        return []
+        return [(0, 0)]
     most, chars, over = limits.max_words, limits.max_chars, min(limits.overlap_words, limits.max_words - 1)
     # begin[c]: the first word of a piece that follows a cut before word c
     at = np.arange(n)
@@ -220,11 +221,9 @@ def oversized(rows: DataFrame, limits: dict[str, Limits]) -> DataFrame:
     too_big = F.lit(False)
     for kind, x in limits.items():
         words = F.regexp_count("text", F.lit(f"{NON_WS}+"))
-        # a blank text above max_chars has no piece
-        some = F.col("text").rlike(NON_WS)
         too_big = too_big | (
             (F.col("kind") == kind)
-            & F.when(size > x.max_chars, some).when(size > 2 * x.max_words, words > x.max_words).otherwise(False)
+            & F.when(size > x.max_chars, True).when(size > 2 * x.max_words, words > x.max_words).otherwise(False)
         )
     return rows.filter(too_big)
 

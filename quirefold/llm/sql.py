@@ -30,8 +30,7 @@ WITH r AS (
   UNION ALL SELECT 'chunk', chunk_no, text FROM chunk_records
 )
 SELECT r.kind, r.row_key FROM r JOIN split_limits s ON s.record_kind = r.kind
-WHERE trim(regexp_replace(text, '{WS}+', '', 'g')) <> ''
-  AND (length(text) > s.max_chars OR len(regexp_extract_all(text, '{NON_WS}+')) > s.max_words)""",
+WHERE (length(text) > s.max_chars OR len(regexp_extract_all(text, '{NON_WS}+')) > s.max_words)""",
     "p4_found": f"WITH {_REPEATED} SELECT line_no, line_pos FROM keyed JOIN bad USING (doc_id, k)",
     "p4_clean_pages": f"""WITH {_REPEATED},
 hits AS (SELECT line_no, list(line_pos) AS gone FROM keyed JOIN bad USING (doc_id, k) GROUP BY line_no)
