@@ -23,15 +23,14 @@ def from_tables(document_records: DataFrame, page_records: DataFrame) -> tuple[D
         .agg(F.min_by(F.struct("source_path", "page_count", meta.alias("metadata"), "toc"), "line_no").alias("x"))
         .select(F.col("doc_id").alias("doc_key"), "doc_id", "x.source_path", "x.page_count", "x.metadata", "x.toc")
     )
-    pages = (
-        page_records.filter("doc_id IS NOT NULL AND page_index IS NOT NULL")
-        .groupBy("doc_id", "page_index")
-        .agg(F.min_by(F.struct("line_no", "page_label", "text", "needs_ocr"), "line_no").alias("x"))
-        .select(
-            F.col("doc_id").alias("doc_key"), "doc_id", F.col("x.line_no").alias("seq"), "page_index",
-            "x.page_label", "x.text", "x.needs_ocr",
-        )
-    )
+    usable = page_records.filter("doc_id IS NOT NULL AND page_index IS NOT NULL")
+    # which rows repeat a page is found on the keys alone; the text is not shuffled
+    keys = usable.select("doc_id", "page_index", "line_no")
+    repeated = keys.groupBy("doc_id", "page_index").agg(F.min("line_no").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = keys.join(repeated, ["doc_id", "page_index"]).filter("line_no > first").select("line_no")
+    pages = usable.join(small_or_shuffled(later), "line_no", "left_anti").select(
+        F.col("doc_id").alias("doc_key"), "doc_id", F.col("line_no").alias("seq"), "page_index", "page_label", "text", "needs_ocr"
+    )
     # text rows meet the documents by broadcast while these are few; a large document is no hot key then
     known = small_or_shuffled(documents.select("doc_key"))
     return documents, pages.join(known, "doc_key", "left_semi"), pages.join(known, "doc_key", "left_anti")
