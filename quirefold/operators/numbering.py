@@ -16,13 +16,13 @@ def running_before(rows: DataFrame, group: list[str], position: str, value: str,
     positions, so no task sees all rows of a large group: one sorts its blocks, the
     others a block's rows each.
     """
-    at = F.floor(F.col(position) / block).alias("_block")
-    sums = rows.groupBy(*group, at).agg(F.sum(value).alias("_sum"))
+    at = F.col(position) - F.pmod(F.col(position), F.lit(block))
+    sums = rows.groupBy(*group, at.alias("_block")).agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_block", F.floor(F.col(position) / block))
+        rows.withColumn("_block", at)
         .join(sums, [*group, "_block"])
         .withColumn(name, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
         .drop("_block", "_before")
