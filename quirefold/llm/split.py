@@ -11,8 +11,8 @@ Defined results
     the limits gives one empty piece;
   * words are cut only if one alone exceeds ``max_chars``; its parts, preferably
     ending at a sentence mark, then count as words for the overlap;
-  * where the asked overlap would leave no room for a new word, the longest
-    overlap that does is taken;
+  * where the asked overlap would leave no room for a new word, whole words of at
+    most a quarter of ``max_chars`` are shared instead;
   * the token count of a piece is the number of its white-space words;
   * repeated rows are each split.
 """
@@ -40,6 +40,8 @@ PARAGRAPH, SENTENCE, PLAIN, INSIDE = 0, 1, 2, 3
 #: deviation from an even share is weighed by BALANCE.
 COST = np.array([0.0, 1.0, 8.0, 64.0])
 PIECE, BALANCE = 4.0, 6.0
+#: The part of max_chars that an overlap may take where the asked one does not fit.
+SHORT = 4
 
 
 @dataclass(frozen=True)
@@ -117,10 +119,12 @@ def pieces(text: str, limits: Limits) -> list[tuple[int, int]]:
     most, chars, over = limits.max_words, limits.max_chars, min(limits.overlap_words, limits.max_words - 1)
     # begin[c]: the first word of a piece that follows a cut before word c
     at = np.arange(n)
-    begin = np.maximum(at - over, 0)
-    begin = np.minimum(np.maximum(begin, np.searchsorted(s, e - chars, side="left")), at)
+    fits = np.searchsorted(s, e - chars, side="left")  # of a piece that ends with word c
+    asked = np.maximum(at - over, 0)
+    short = np.searchsorted(s, np.r_[s[0], e[:-1]] - chars // SHORT, side="left")
+    begin = np.where(asked >= fits, asked, np.minimum(np.maximum(np.maximum(asked, fits), short), at))
     # low[c]: the first word from which a piece that ends before c + 1 keeps the limits
-    low = np.maximum(np.searchsorted(s, e - chars, side="left"), at - most + 1)
+    low = np.maximum(fits, at - most + 1)
     if low[-1] == 0:
         return [(int(s[0]), int(e[-1]))]
     # candidate cuts: better edges alone, and plain ones where those lie too far apart
@@ -140,11 +144,12 @@ def pieces(text: str, limits: Limits) -> list[tuple[int, int]]:
     best[0] = 0.0
     prev = np.zeros(len(cuts) + 1, np.int64)
     for k, c in enumerate(cuts):
-        a = np.searchsorted(first[: k + 1], low[c], side="left")
+        a = int(np.searchsorted(cuts[:k], low[c] - 1, side="left")) + 1 if low[c] else 0
         if a > k:
             continue
-        span = (e[c] - s[first[a : k + 1]]) / share
-        cost = best[a : k + 1] + BALANCE * np.square(1.0 - span)
+        here = first[a : k + 1]
+        span = (e[c] - s[here]) / share
+        cost = np.where(here >= low[c], best[a : k + 1] + BALANCE * np.square(1.0 - span), np.inf)
         j = int(np.argmin(cost))
         best[k + 1] = cost[j] + PIECE + COST[edge[c]] * (c != n - 1)
         prev[k + 1] = a + j
