@@ -8,7 +8,6 @@ tables' lines in line_no order as one JSONL stream.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +21,7 @@ from quirefold.operators import policy, units
 from quirefold.operators.sections import path_groups, section_paths
 from quirefold.plans import job, sql
 from quirefold.schemas import METADATA_FIELDS
-from quirefold.session import shared_folder
+from quirefold.session import scratch
 from quirefold.sources import jsonl
 from quirefold.sources.tables import from_tables
 
@@ -185,7 +184,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stream(spark: SparkSession, lines: DataFrame) -> jsonl.Records:
     """The lines as one file of the shared folder, read as a stream of records."""
-    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    path = scratch(spark, "lines")
     lines.orderBy("line_no").select("value").coalesce(1).write.text(path)
     return jsonl.read_records(spark, path)
 
@@ -216,7 +215,7 @@ def jsonl_roundtrip(spark, folder):
     read = _stream(spark, _lines(spark, folder))
     cfg = _config("page")
     made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
-    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    path = scratch(spark, "chunks")
     jsonl.write_lines(made, cfg, path, CREATED)
     back = spark.read.schema(made.chunks.drop("doc_key").schema).json(f"{path}/part-*")
     return back.select("chunk_id", "doc_id", "chunk_index", "token_count", F.col("spans")[0]["char_end"].alias("char_end"))
@@ -251,7 +250,7 @@ def streaming_assembly(spark, folder):
     from quirefold.streaming.assembly import run_available
 
     lines = _lines(spark, folder)
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     lines.repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("value").write.text(f"{base}/in")
     run_available(spark, f"{base}/in", f"{base}/out", f"{base}/state", _config("page"))
     return spark.read.parquet(f"{base}/out/chunks").select("chunk_id", "doc_id", "chunk_index", "token_count")

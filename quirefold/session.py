@@ -47,6 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python process ends."""
+    path = f"{shared_folder(spark)}/quirefold-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of that table.
 
@@ -54,9 +61,8 @@ def staged(df: DataFrame) -> DataFrame:
     files go when the driver's Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quirefold-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
