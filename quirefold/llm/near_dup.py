@@ -279,7 +279,8 @@ def compare_nodes(least: tuple[int, ...], limit: int | None):
 
     def pairs(path, rep, *planes):
         """Compare every row with those after it in its node, one distance at a time."""
-        end = np.searchsorted(path, path, side="right")
+        signed = path.view(np.int64)  # the order in which Spark sorted the rows
+        end = np.searchsorted(signed, signed, side="right")
         most = np.array([POSITIONS - x for x in least], np.uint8)[(path & KIND_BITS).astype(np.int64)]
         at = np.arange(len(path))
         got = []

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quirefold.llm.near_dup import JoinPlan, Kind, WordHashes, classes, components, id_pairs, shingles, signatures, similar_records
+from quirefold.llm.near_dup import PLANES, JoinPlan, Kind, WordHashes, classes, compare_nodes, components, id_pairs, shingles, signatures, similar_records
 
 DDL = "kind int, id string, row_no long, text string, extra string"
 
@@ -94,3 +95,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (200, 100), (300, 300)]
     got = {r.node: r["class"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 100}
+
+
+@pytest.mark.parametrize("limit", [256, None])
+def test_nodes_with_negative_and_positive_paths(limit):
+    """Spark sorts paths as signed numbers: every pair of a node is compared on both sides of zero."""
+    rng = np.random.default_rng(4)
+    paths = np.sort(rng.integers(-(1 << 63), 1 << 63, 300) & ~np.int64(3))
+    assert paths[0] < 0 < paths[-1]
+    path = np.repeat(paths, rng.integers(1, 9, len(paths)))
+    sketch = np.repeat(rng.integers(-(1 << 63), 1 << 63, (len(paths), PLANES)), np.unique(path, return_counts=True)[1], axis=0)
+    sketch[rng.random(len(path)) < 0.3] ^= np.int64(-1)  # far from the rest of its node
+    rep = np.arange(len(path))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(path), pa.array(rep), *(pa.array(sketch[:, i]) for i in range(PLANES)), pa.array(np.ones(len(path), np.int32))],
+        names=["path", "rep", *(f"s{i}" for i in range(PLANES)), "level"],
+    )
+    got = [(r["a"], r["b"]) for out in compare_nodes((40, 40), limit)(iter([batch])) for r in out.to_pylist()]
+    same = lambda a, b: path[a] == path[b] and (sketch[a] == sketch[b]).all()
+    want = [(a, b) for a in range(len(path)) for b in range(a + 1, min(a + 9, len(path))) if same(a, b)]
+    assert sorted(got) == want
