@@ -72,7 +72,8 @@ class Kind:
 class JoinPlan:
     trees: int = 6
     node_limit: int = 256
-    max_level: int = 8
+    max_level: int = 3  # each level below costs recall; what is still large is compared block by block
+    block: int = 4096
 
 
 class WordHashes(dict):
@@ -425,7 +426,7 @@ def candidate_pairs(reps: DataFrame, kinds: tuple[Kind, ...], plan: JoinPlan) ->
 
 def _blocks(done: DataFrame, signed: DataFrame, kinds: tuple[Kind, ...], plan: JoinPlan) -> DataFrame:
     """Nodes still too large at the last level: all pairs, one pair of blocks at a time."""
-    sizes = done.groupBy("path").agg(F.ceil(F.count("*") / plan.node_limit).cast("int").alias("blocks"))
+    sizes = done.groupBy("path").agg(F.ceil(F.count("*") / plan.block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
     rows = (
         done.join(sizes, "path")

@@ -115,3 +115,26 @@ def test_nodes_with_negative_and_positive_paths(limit):
     same = lambda a, b: path[a] == path[b] and (sketch[a] == sketch[b]).all()
     want = [(a, b) for a in range(len(path)) for b in range(a + 1, min(a + 9, len(path))) if same(a, b)]
     assert sorted(got) == want
+
+
+def test_recall_of_a_hot_group_at_the_threshold(spark):
+    """Pairs just above the threshold are met as often in nodes that stay large as in others."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(250):
+        own = list(base)
+        for at in rng.sample(range(60), 4):
+            own[at] = f"z{i}-{at}"
+        rows.append((0, f"hot{i:03d}", i, " ".join(own), None))
+    kind = Kind("text", "word", 3, 0.5)
+    sets = [{tuple(w[j : j + 3]) for j in range(58)} for w in (r[3].split() for r in rows)]
+    want = {
+        (0, rows[a][1], rows[b][1])
+        for a in range(250)
+        for b in range(a + 1, 250)
+        if 0.5 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.53
+    }
+    got = {tuple(r) for r in id_pairs(similar_records(spark.createDataFrame(rows, DDL), (kind,), JoinPlan(node_limit=4, block=64))).collect()}
+    assert len(want) > 1000
+    assert len(want & got) >= 0.97 * len(want)
