@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +139,10 @@ def test_recall_of_a_hot_group_at_the_threshold(spark):
     got = {tuple(r) for r in id_pairs(similar_records(spark.createDataFrame(rows, DDL), (kind,), JoinPlan(node_limit=4, block=64))).collect()}
     assert len(want) > 1000
     assert len(want & got) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_sketch_keeps_pairs_at_the_threshold(threshold):
+    p = threshold + (1 - threshold) / 16
+    least = Kind("x", "word", 3, threshold).least_matches
+    assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(least)) < 2e-4
