@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quirefold.llm.near_dup import PLANES, JoinPlan, Kind, WordHashes, classes, compare_nodes, components, id_pairs, shingles, signatures, similar_records
+from quirefold.llm.near_dup import BITS, PLANES, POSITIONS, JoinPlan, Kind, WordHashes, classes, compare_nodes, components, extra_trees, id_pairs, shingles, missed, signatures, similar_records, units
 
 DDL = "kind int, id string, row_no long, text string, extra string"
 
@@ -47,7 +47,7 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("plan", [JoinPlan(trees=12), JoinPlan(trees=14, node_limit=6, max_level=3)])
+@pytest.mark.parametrize("plan", [JoinPlan(), JoinPlan(trees=12), JoinPlan(trees=14, node_limit=6, max_level=3)])
 def test_against_brute_force(spark, plan):
     kinds = (Kind("text", "word", 3, 0.5, 4), Kind("path", "char", 3, 0.6))
     rows = corpus(3, 90)
@@ -86,10 +86,13 @@ def test_signature_estimates_similarity():
     a = [f"t{i}" for i in range(3000)]
     b = a[:2000] + [f"u{i}" for i in range(1000)]
     kind = Kind("x", "word", 1, 0.5)
-    h, n = shingles([" ".join(a), " ".join(b)], kind, WordHashes())
+    h, n = shingles(*units([" ".join(a), " ".join(b)], kind, WordHashes()), kind.size)
     sig = signatures(h, n)
-    assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.2
-    assert len(np.unique(sig)) > 60
+    assert abs((sig["tokens"][0] == sig["tokens"][1]).mean() - 0.5) < 0.2
+    assert len(np.unique(sig["tokens"])) > 60
+    p = sig["planes"]
+    agree = 128 - sum(int(np.bitwise_count((p[0, i] ^ p[1, i]) | (p[0, i + 1] ^ p[1, i + 1]))) for i in (0, 2))
+    assert abs(agree / 128 - 0.625) < 0.16
 
 
 def test_components(spark):
@@ -109,8 +112,8 @@ def test_nodes_with_negative_and_positive_paths(limit):
     sketch[rng.random(len(path)) < 0.3] ^= np.int64(-1)  # far from the rest of its node
     rep = np.arange(len(path))
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(path), pa.array(rep), *(pa.array(sketch[:, i]) for i in range(PLANES)), pa.array(np.ones(len(path), np.int32))],
-        names=["path", "rep", *(f"s{i}" for i in range(PLANES)), "level"],
+        [pa.array(path), pa.array(rep), *(pa.array(sketch[:, i]) for i in range(PLANES))],
+        names=["path", "rep", *(f"s{i}" for i in range(PLANES))],
     )
     got = [(r["a"], r["b"]) for out in compare_nodes((40, 40), limit)(iter([batch])) for r in out.to_pylist()]
     same = lambda a, b: path[a] == path[b] and (sketch[a] == sketch[b]).all()
@@ -143,6 +146,15 @@ def test_recall_of_a_hot_group_at_the_threshold(spark):
 
 @pytest.mark.parametrize("threshold", [0.5, 0.6])
 def test_sketch_keeps_pairs_at_the_threshold(threshold):
-    p = threshold + (1 - threshold) / 16
+    p = threshold + (1 - threshold) / 2**BITS
     least = Kind("x", "word", 3, threshold).least_matches
-    assert sum(comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(least)) < 2e-4
+    assert sum(comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(least)) < 2e-4
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+@pytest.mark.parametrize("depth", range(1, 9))
+def test_trees_follow_the_depth(threshold, depth):
+    """At any depth no more than the stated share of pairs at the threshold is missed."""
+    plan = JoinPlan()
+    assert missed(threshold, plan.trees, plan.base_level, depth, extra_trees(plan, threshold, depth)) <= plan.missed
+    assert missed(threshold, plan.trees, 8, depth) > plan.missed or extra_trees(plan, threshold, depth) == 0
