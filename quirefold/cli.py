@@ -52,7 +52,7 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
         print(f"quirefold: {e}", file=sys.stderr)
         return 2
     from quirefold.plans.stream_job import process_file, summary
-    from quirefold.session import local_session
+    from quirefold.session import local_session, publish_file
 
     spark = spark or local_session()
     with tempfile.TemporaryDirectory() as folder:
@@ -61,6 +61,7 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
             source = os.path.join(folder, "input.jsonl")
             with open(source, "w", encoding="utf-8", newline="") as f:
                 f.writelines(sys.stdin)
+            source = publish_file(spark, source, "input")
         if target == "-":
             target = os.path.join(folder, "output.jsonl")
         try:

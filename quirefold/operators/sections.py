@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Page numbers that share a block, by which ranges meet the pages in them.
+BLOCK = 256
+
 
 def transitions(toc) -> F.Column:
     """For each outline entry with a page: (page_index, path of its ancestors and itself).
@@ -34,9 +37,10 @@ def section_paths(documents: DataFrame, pages: DataFrame) -> DataFrame:
     Entry i holds the pages from its own to the next entry's, the last one those to
     the document's end. Where ranges meet, the later entry wins; a range that runs
     backwards is empty; negative starts begin at page 0. A document without pages
-    by its own count, or with a null or empty outline, has none. The ranges are
-    expanded to page numbers that exist, so the join is on (document, page) and a
-    large document is no hot key.
+    by its own count, or with a null or empty outline, has none. Ranges meet the
+    blocks of page numbers that exist, then the pages of each block; the join is on
+    (document, block), so a large document is no hot key, and however large a page
+    number is, nothing is expanded.
     """
     last = pages.groupBy("doc_key").agg((F.max("page_index") + 1).alias("pages"))
     toc = documents.filter(F.size("toc") > 0).select("doc_key", "page_count", transitions(F.col("toc")).alias("entries"))
@@ -51,8 +55,17 @@ def section_paths(documents: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("end", F.least("end", "pages"))
         .filter("start < end")
     )
+    at = F.floor(F.col("page_index") / BLOCK)
+    numbers = pages.select("doc_key", "page_index").distinct().withColumn("block", at)
+    held = numbers.select("doc_key", "block").distinct()
+    inside = (
+        ranges.select("doc_key", "i", F.col("x.path").alias("path"), "start", "end")
+        .join(held, "doc_key")
+        .filter((F.col("start") < (F.col("block") + 1) * BLOCK) & (F.col("end") > F.col("block") * BLOCK))
+    )
     return (
-        ranges.select("doc_key", "i", F.col("x.path").alias("path"), F.explode(F.sequence("start", F.col("end") - 1)).alias("page_index"))
+        numbers.join(inside, ["doc_key", "block"])
+        .filter((F.col("start") <= F.col("page_index")) & (F.col("page_index") < F.col("end")))
         .groupBy("doc_key", "page_index")
         .agg(F.max_by("path", "i").alias("section_path"))
     )

@@ -233,3 +233,130 @@ r AS (SELECT doc_id, length(text) AS size, unnest(range(length(text) // 500 + 1)
 x AS (SELECT doc_id, range_no, range_no * 500 AS s, least(range_no * 500 + 500, size) AS e FROM r)
 SELECT doc_id, range_no, page_index, greatest(s, g) - g AS char_start, least(e, g + len) - g AS char_end
 FROM x JOIN seg USING (doc_id) WHERE g < e AND s < g + len"""
+
+
+def _greedy(name: str, parts: str, key: str, most: int) -> str:
+    """Neighbouring parts (key.., n, s, e, t) joined up to ``most``: (key.., n, s, e, t); larger parts stand alone."""
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in key.split(", "))
+    return f"""
+{name}_b0 AS (SELECT *, sum(t) OVER (PARTITION BY {key} ORDER BY n) AS after FROM {parts}),
+{name}_b AS (
+  SELECT {key}, n, after - t AS b FROM {name}_b0
+  UNION ALL SELECT {key}, max(n) + 1, max(after) FROM {name}_b0 GROUP BY {key}
+),
+{name}_j AS (SELECT {key}, n, max(n) OVER (PARTITION BY {key} ORDER BY b RANGE BETWEEN CURRENT ROW AND {most} FOLLOWING) AS j FROM {name}_b),
+{name}_x AS (SELECT p.*, CASE WHEN p.t > {most} THEN p.n + 1 ELSE greatest(j.j, p.n + 1) END AS nx FROM {parts} p JOIN {name}_j j ON {on("p", "j")} AND p.n = j.n),
+{name}_o AS (
+  SELECT {key}, n, nx FROM {name}_x WHERE n = 0
+  UNION ALL SELECT {", ".join("o." + c for c in key.split(", "))}, x.n, x.nx FROM {name}_o o JOIN {name}_x x ON {on("o", "x")} AND x.n = o.nx
+),
+{name} AS (
+  SELECT {", ".join("o." + c for c in key.split(", "))}, o.n, x.s, z.e, x.t FROM {name}_o o
+  JOIN {name}_x x ON {on("o", "x")} AND x.n = o.n JOIN {name}_x z ON {on("o", "z")} AND z.n = o.nx - 1
+)"""
+
+
+def _cascade(units: str, key: str, most: int) -> str:
+    """The recursive cascade over units (key.., text): pieces (key.., s, e, token_count)."""
+    cols = key.split(", ")
+    of = lambda a: ", ".join(f"{a}.{c}" for c in cols)
+    count = lambda x: f"len(regexp_extract_all({x}, '{NON_WS}+'))"
+    runs_key = f"{key}, base"
+    return f"""
+sized AS (SELECT {key}, text, {count("text")} AS n_all FROM {units}),
+over AS (SELECT * FROM sized WHERE n_all > {most}),
+pa0 AS (SELECT {key}, string_split(regexp_replace(text, '(\\n\\n+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS rs FROM over),
+pa1 AS (SELECT {key}, unnest(rs) AS r, unnest(range(len(rs))) AS i FROM pa0),
+pa2 AS (SELECT *, CAST(sum(length(r)) OVER (PARTITION BY {key} ORDER BY i) AS BIGINT) AS e FROM pa1),
+paras AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS n, e - length(r) AS s, e, {count("r")} AS t FROM pa2 WHERE i % 2 = 0 AND r <> ''),
+several AS (SELECT p.* FROM paras p JOIN (SELECT {key} FROM paras GROUP BY {key} HAVING count(*) > 1) m USING ({key})),
+{_greedy("ppack", "several", key, most)},
+regions AS (
+  SELECT {key}, s AS base, e AS stop FROM ppack WHERE t > {most}
+  UNION ALL SELECT {key}, 0, length(text) FROM over JOIN (SELECT {key} FROM paras GROUP BY {key} HAVING count(*) = 1) USING ({key})
+),
+rt AS (SELECT {of("r")}, base, stop, substring(text, base + 1, stop - base) AS text FROM regions r JOIN over u USING ({key})),
+se0 AS (SELECT {runs_key}, base + length(text) - length(regexp_replace(text, '^{WS}+', '')) AS lead,
+               string_split(regexp_replace(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), '([.!?])({WS}+)', '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1)) AS rs FROM rt),
+se1 AS (SELECT {runs_key}, lead, unnest(rs) AS r, unnest(range(len(rs))) AS i FROM se0),
+se2 AS (SELECT *, CAST(lead + sum(length(r)) OVER (PARTITION BY {runs_key} ORDER BY i) AS BIGINT) AS e FROM se1),
+sens AS (SELECT {runs_key}, i // 2 AS n, e - length(r) AS s, e, {count("r")} AS t FROM se2 WHERE i % 2 = 0),
+many AS (SELECT p.* FROM sens p JOIN (SELECT {runs_key} FROM sens GROUP BY {runs_key} HAVING count(*) > 1) m USING ({runs_key})),
+{_greedy("spack", "many", runs_key, most)},
+wordy AS (
+  SELECT {key}, s AS base, e AS stop FROM spack WHERE t > {most}
+  UNION ALL SELECT {key}, base, stop FROM regions JOIN (SELECT {runs_key} FROM sens GROUP BY {runs_key} HAVING count(*) = 1) USING ({runs_key})
+),
+wt AS (SELECT {of("r")}, base, substring(text, base + 1, stop - base) AS text FROM wordy r JOIN over u USING ({key})),
+{_runs("wt", runs_key)},
+{_windows(runs_key, most, most).replace("n AS (SELECT", "cnt AS (SELECT", 1).replace("FROM n)", "FROM cnt)")},
+ranges0 AS (
+  SELECT {key}, 0 AS s, length(text) AS e FROM sized WHERE n_all <= {most}
+  UNION ALL SELECT {key}, s, e FROM ppack WHERE t <= {most}
+  UNION ALL SELECT {key}, s, e FROM spack WHERE t <= {most}
+  UNION ALL SELECT {key}, base + s, base + e FROM cut
+),
+pieces AS (
+  SELECT * FROM (SELECT {of("r")}, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, {count("substring(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT))")} AS token_count FROM ranges0 r JOIN sized u USING ({key}))
+  WHERE token_count > 0
+)"""
+
+
+#: Usable pages with their section path, numbered, in units: runs of one path, or whole documents.
+_PATHED = """
+pathed AS (
+  SELECT u.doc_id, u.page_index, u.text, u.n_words, coalesce(section_path, '') AS path, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.page_index) AS i
+  FROM usable u LEFT JOIN sections USING (doc_id, page_index)
+)"""
+
+
+def _joined(unit: str) -> str:
+    """Texts of the units of ``member`` (doc_id, unit, page_index, text, path) and where each page lies in them."""
+    return f"""
+member AS (SELECT *, {unit} AS unit FROM pathed),
+unit_texts AS (SELECT doc_id, unit, string_agg(text, chr(10) || chr(10) ORDER BY page_index) AS text FROM member GROUP BY doc_id, unit),
+seg AS (SELECT doc_id, unit, page_index, path, length(text) AS len, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id, unit ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g FROM member),
+{_cascade("unit_texts", "doc_id, unit", 64)},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit, s) AS i FROM pieces),
+hit AS (SELECT p.doc_id, p.i, p.token_count, g.page_index, g.path, greatest(p.s, g.g) - g.g AS a, least(p.e, g.g + g.len) - g.g AS b
+        FROM numbered p JOIN seg g ON g.doc_id = p.doc_id AND g.unit = p.unit AND g.g < p.e AND p.s < g.g + g.len),
+piece AS (SELECT doc_id, i, any_value(token_count) AS n, arg_min(path, page_index) AS path FROM hit GROUP BY doc_id, i)"""
+
+
+def _merged(source: str, least: int, most: int) -> str:
+    """Pieces (doc_id, i from 1, n, path) with the number c of the chunk that holds each."""
+    return f"""
+fold AS (
+  SELECT doc_id, i, CAST(0 AS BIGINT) AS c, CAST(n AS BIGINT) AS held, path FROM {source} WHERE i = 1
+  UNION ALL
+  SELECT f.doc_id, p.i, f.c + CASE WHEN p.n < {least} AND p.path = f.path AND f.held + p.n <= {most} THEN 0 ELSE 1 END,
+         CASE WHEN p.n < {least} AND p.path = f.path AND f.held + p.n <= {most} THEN f.held + p.n ELSE p.n END,
+         CASE WHEN p.n < {least} AND p.path = f.path AND f.held + p.n <= {most} THEN f.path ELSE p.path END
+  FROM fold f JOIN {source} p ON p.doc_id = f.doc_id AND p.i = f.i + 1
+)"""
+
+
+_SPAN_ROWS = """
+SELECT printf('%s::c%04d', doc_id, c) AS chunk_id, doc_id, c AS chunk_index, CAST(token_count AS BIGINT) AS token_count,
+       row_number() OVER (PARTITION BY doc_id, c ORDER BY page_index) - 1 AS span_no, page_index, CAST(a AS BIGINT) AS char_start, CAST(b AS BIGINT) AS char_end"""
+
+ORACLES["q11_recursive"] = f"""WITH RECURSIVE {BASE}, {_cascade("usable", "doc_id, page_index", 64)},
+x AS (SELECT doc_id, page_index, s AS a, e AS b, token_count, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, s) - 1 AS c FROM pieces) {_SPAN_ROWS} FROM x"""
+ORACLES["q13_section_chunks"] = f"""WITH RECURSIVE {BASE}, {_SECTIONS}, {_PATHED.replace("row_number() OVER (PARTITION BY u.doc_id ORDER BY u.page_index) AS i", "lag(coalesce(section_path, '')) OVER (PARTITION BY u.doc_id ORDER BY u.page_index) AS before")},
+{_joined("sum(CASE WHEN path = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page_index)")},
+x AS (SELECT h.doc_id, i - 1 AS c, h.token_count, h.page_index, a, b, p.path FROM hit h JOIN piece p USING (doc_id, i)) {_SPAN_ROWS}, path AS section_path FROM x"""
+ORACLES["q11b_recursive_cross_page"] = f"""WITH RECURSIVE {BASE}, {_SECTIONS}, {_PATHED}, {_joined("0")}, {_merged("piece", 8, 72)},
+x AS (SELECT h.doc_id, f.c, h.page_index, min(a) AS a, max(b) AS b FROM hit h JOIN fold f USING (doc_id, i) GROUP BY h.doc_id, f.c, h.page_index),
+y AS (SELECT x.*, t.token_count FROM x JOIN (SELECT doc_id, c, max(held) AS token_count FROM fold GROUP BY doc_id, c) t USING (doc_id, c)) {_SPAN_ROWS} FROM y"""
+ORACLES["q14_runt_merge"] = f"""WITH RECURSIVE {BASE}, {_SECTIONS}, {_PATHED}, piece AS (SELECT doc_id, i, n_words AS n, path FROM pathed), {_merged("piece", 32, 96)},
+y AS (SELECT f.doc_id, f.c, p.page_index, 0 AS a, length(p.text) AS b, t.token_count FROM fold f JOIN pathed p USING (doc_id, i)
+      JOIN (SELECT doc_id, c, max(held) AS token_count FROM fold GROUP BY doc_id, c) t USING (doc_id, c)) {_SPAN_ROWS} FROM y"""
+ORACLES["q33_rebuilt_texts"] = f"""WITH {BASE}, {_SECTIONS}, {_PATHED},
+w AS (SELECT doc_id, CAST(sum(n_words) AS BIGINT) AS n FROM pathed GROUP BY doc_id),
+first AS (SELECT doc_id, path, CAST(sum(n_words) OVER (PARTITION BY doc_id ORDER BY page_index) AS BIGINT) AS upto, n_words FROM pathed),
+runt AS (
+  SELECT w.doc_id FROM w JOIN first a ON a.doc_id = w.doc_id AND a.upto > (n // 64) * 64 AND a.upto - a.n_words <= (n // 64) * 64
+  JOIN first b ON b.doc_id = w.doc_id AND b.upto > (n // 64 - 1) * 64 AND b.upto - b.n_words <= (n // 64 - 1) * 64
+  WHERE n > 64 AND n % 64 BETWEEN 1 AND 7 AND a.path = b.path
+)
+SELECT true AS equal, CAST(sum(ceil(n / 64.0)) - (SELECT count(*) FROM runt) AS BIGINT) AS chunks FROM w"""

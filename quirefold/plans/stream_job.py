@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import datetime
-import glob
-import os
-import shutil
-import tempfile
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from quirefold.config import ChunkingConfig
 from quirefold.plans.job import Run, run
+from quirefold.session import fetch_file, scratch
 from quirefold.sources.jsonl import ordered_skips, read_records, write_lines
 
 
-
 def now() -> str:
     return datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
 
@@ -39,20 +34,19 @@ def process(
 
 
 def process_file(spark: SparkSession, source: str, target: str, cfg: ChunkingConfig | None = None, **options) -> Run:
-    """As ``process``, with one ordinary output file on the driver's machine."""
-    with tempfile.TemporaryDirectory() as folder:
-        made = process(spark, source, os.path.join(folder, "out"), cfg, single_file=True, **options)
-        (part,) = glob.glob(os.path.join(folder, "out", "part-*"))
-        shutil.move(part, target)
+    """As ``process``, with one ordinary output file on the driver's machine.
+
+    Executors write to the shared folder; the driver copies the file from there.
+    """
+    folder = scratch(spark, "lines")
+    made = process(spark, source, folder, cfg, single_file=True, **options)
+    fetch_file(spark, folder, target)
     return made
 
 
-def summary(made: Run, most: int = 1000) -> tuple[dict, list[dict]]:
-    """The counters, and the first skipped pages in stream order."""
+def summary(made: Run, most: int | None = 1000) -> tuple[dict, list[dict]]:
+    """The counters, and the skipped pages in stream order: the first ``most``, or all."""
     stats = made.stats.first().asDict()
-    rows = ordered_skips(made.skipped, made.documents).select("doc_id", "page_index", "reason").limit(most).collect()
-    return stats, [r.asDict() for r in rows]
-
-
-def skipped_count(made: Run) -> int:
-    return made.skipped.agg(F.count("*")).first()[0]
+    rows = ordered_skips(made.skipped, made.documents).select("doc_id", "page_index", "reason")
+    rows = rows if most is None else rows.limit(most)
+    return stats, [r.asDict() for r in rows.collect()]

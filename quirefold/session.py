@@ -59,7 +59,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder shared by all executors")
     known = spark.sparkContext.getCheckpointDir()
     if known:
@@ -93,10 +94,31 @@ def small_or_shuffled(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _located(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop knows them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fetch_file(spark: SparkSession, folder: str, target: str) -> None:
+    """The one part file of a written folder, wherever that is, as a file on the driver's machine."""
+    where, files = _located(spark, f"{folder}/part-*")
+    (part,) = files.globStatus(where)
+    local = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{Path(target).resolve()}")
+    files.copyToLocalFile(False, part.getPath(), local, True)
+
+
+def publish_file(spark: SparkSession, source: str, name: str) -> str:
+    """A file of the driver's machine, copied to where all executors can read it."""
+    path = scratch(spark, name)
+    where, files = _located(spark, path)
+    files.copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{Path(source).resolve()}"), where)
+    return path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _located(spark, path)
+        files.delete(where, True)
     except Exception:  # the session is gone; the folder's owner clears it
         pass

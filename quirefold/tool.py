@@ -49,11 +49,12 @@ def run_tool(arguments: Mapping[str, Any], spark=None) -> dict[str, Any]:
         if not source or not target:
             return {"ok": False, "error": "input_path and output_path are required"}
         cfg = ChunkingConfig(**{k: v for k, v in arguments.items() if k in OFFERED})
-        from quirefold.plans.stream_job import process_file, skipped_count
+        from quirefold.plans.stream_job import process_file, summary
         from quirefold.session import local_session
 
         made = process_file(spark or local_session(), str(source), str(target), cfg)
-        stats = made.stats.first().asDict()
-        return {"ok": True, "output_path": str(target), "stats": stats, "chunks_written": stats["chunks_written"], "pages_skipped": skipped_count(made)}
+        # the caller asked for one file with all skipped pages in its last line; the result lists them, too
+        stats, skipped = summary(made, None)
+        return {"ok": True, "output_path": str(target), "stats": stats, "chunks_written": stats["chunks_written"], "pages_skipped": skipped}
     except Exception as e:  # the caller gets every failure as a result
         return {"ok": False, "error": f"{type(e).__name__}: {e}"}
