@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirefold.functions.sentences import SPLITTERS
+from quirefold.functions.sentences import Splitter, splitter_of
 from quirefold.functions.tokens import load
 from quirefold.operators.kernels import split_paragraphs
 
@@ -48,8 +48,8 @@ def parts_of(rows: DataFrame, spans: Callable[[], Spans], number: str, text: str
     return rows.select(*(f"`{f.name}`" for f in kept), text).mapInArrow(run, ddl)
 
 
-def word_rows(rows: DataFrame, text: str = "text", tokenizer: str = "word-counter") -> DataFrame:
-    """One row a token, of the word counter or of a tokenizer file."""
+def word_rows(rows: DataFrame, text: str = "text", tokenizer="word-counter") -> DataFrame:
+    """One row a token, of the word counter, a tokenizer file or a counter of the caller's."""
     return parts_of(rows, lambda: load(tokenizer).offsets, "token_no", text)
 
 
@@ -57,5 +57,6 @@ def paragraph_rows(rows: DataFrame, text: str = "text") -> DataFrame:
     return parts_of(rows, lambda: split_paragraphs, "paragraph_no", text)
 
 
-def sentence_rows(rows: DataFrame, text: str = "text", splitter: str = "abbreviations") -> DataFrame:
-    return parts_of(rows, lambda: SPLITTERS[splitter], "sentence_no", text)
+def sentence_rows(rows: DataFrame, text: str = "text", splitter: str | Splitter = "abbreviations") -> DataFrame:
+    split = splitter_of(splitter)
+    return parts_of(rows, lambda: split, "sentence_no", text)

@@ -1,13 +1,16 @@
-"""Token counters: the built-in word counter and tokenizers read from a file.
+"""Token counters: the built-in word counter, tokenizers read from a file, and a caller's own.
 
 A counter has ``count(text)``, ``offsets(text)`` (code-point pairs) and
 ``additive``: whether the count of joined pieces is the sum of their counts.
+Any object of that kind can be given where a name can; it goes to the workers
+by pickling.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 WORD = re.compile(r"\S+")
@@ -39,12 +42,27 @@ class FileTokenizer:
         return list(self.tokenizer.encode(text, add_special_tokens=False).offsets) if text else []
 
 
-@lru_cache(8)
-def load(source: str):
-    """The counter that ``source`` names: the word counter, a JSON text, or a local path.
+class FunctionCounter:
+    """A counter made of two functions. Without ``offsets`` only counts are known,
+    which is enough for the strategies page and sentence while no sentence is too long."""
 
-    Cached, so a Python worker builds it once.
-    """
+    def __init__(self, count: Callable[[str], int], offsets: Callable[[str], list[tuple[int, int]]] | None = None, additive: bool = False):
+        self.count, self._offsets, self.additive = count, offsets, additive
+
+    def offsets(self, text: str) -> list[tuple[int, int]]:
+        if self._offsets is None:
+            raise ValueError("this counter has no token offsets")
+        return self._offsets(text)
+
+
+def load(source):
+    """The counter that ``source`` names (the word counter, a JSON text, a local path), or is."""
+    return _named(source) if isinstance(source, str) else source
+
+
+@lru_cache(8)
+def _named(source: str):
+    """Cached, so a Python worker builds it once."""
     if source == WORD_COUNTER:
         return WordCounter()
     from tokenizers import Tokenizer
@@ -54,15 +72,27 @@ def load(source: str):
     return FileTokenizer(Tokenizer.from_file(source))
 
 
-def resolve(model: str) -> str:
-    """What to ship to the executors for a model name: resolved once, on the driver.
+#: Environment variable with the folder of local models: <folder>/<model name>/tokenizer.json.
+MODEL_FOLDER = "QUIREFOLD_TOKENIZERS"
 
-    A path to a tokenizer.json, or a folder that holds one, is read here. Nothing
-    is downloaded; an unknown name is an error.
+
+def resolve(model):
+    """What to ship to the executors for a model: resolved once, on the driver.
+
+    A path to a tokenizer.json, or a folder that holds one, is read here; a name is
+    also looked for in the folder that MODEL_FOLDER names. Nothing is downloaded; an
+    unknown name is an error. A counter object is shipped as it is.
     """
+    if not isinstance(model, str):
+        if not (callable(getattr(model, "count", None)) and callable(getattr(model, "offsets", None)) and hasattr(model, "additive")):
+            raise TypeError("a counter needs count, offsets and additive")
+        return model
     if model == WORD_COUNTER or model.lstrip().startswith("{"):
         return model
-    for path in (model, os.path.join(model, "tokenizer.json")):
+    places = [model, os.path.join(model, "tokenizer.json")]
+    if folder := os.environ.get(MODEL_FOLDER):
+        places.append(os.path.join(folder, model, "tokenizer.json"))
+    for path in places:
         if os.path.isfile(path):
             with open(path, encoding="utf-8") as f:
                 return f.read()

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quirefold.config import ChunkingConfig
 from quirefold.constants import SCHEMA_VERSION
 from quirefold.functions import tokens as tok
-from quirefold.functions.sentences import SPLITTERS
+from quirefold.functions.sentences import Splitter, splitter_of
 from quirefold.operators.kernels import Page, Tools, segment
 from quirefold.operators.numbering import chunk_id, running_before
 from quirefold.schemas import SPAN_DDL
@@ -34,11 +34,11 @@ PIECE_SCHEMA = pa.schema(
 UNIT_COLUMNS = ("doc_key", "page_index", "page_label", "text", "section_path", "usable")
 
 
-def segment_batches(cfg: ChunkingConfig, tokenizer: str, splitter: str, by_page: bool):
+def segment_batches(cfg: ChunkingConfig, tokenizer, splitter: Splitter, by_page: bool):
     """Rows of UNIT_COLUMNS, those of a unit together and in order -> its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Tools(cfg, tok.load(tokenizer), SPLITTERS[splitter])
+        tools = Tools(cfg, tok.load(tokenizer), splitter)
         out: list[list] = [[] for _ in PIECE_SCHEMA]
         unit, held = None, []
 
@@ -78,7 +78,7 @@ def has_repeats(pages: DataFrame) -> bool:
     return not pages.groupBy("doc_key", "page_index").count().filter("count > 1").isEmpty()
 
 
-def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer: str = tok.WORD_COUNTER, splitter: str = "abbreviations") -> DataFrame:
+def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer=tok.WORD_COUNTER, splitter: str | Splitter = "abbreviations") -> DataFrame:
     """Pieces (PIECE_DDL) of pages with a ``reason`` column, as a stored table.
 
     position and ord give their order. ``paths`` (see section_paths) is used here
@@ -99,7 +99,7 @@ def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer: s
             .repartition("doc_key")
             .sortWithinPartitions("doc_key", "page_index", "seq")
         )
-    return staged(rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter, by_page), PIECE_DDL))
+    return staged(rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter_of(splitter), by_page), PIECE_DDL))
 
 
 def chunks(cut: DataFrame, documents: DataFrame, cfg: ChunkingConfig, paths: DataFrame) -> DataFrame:

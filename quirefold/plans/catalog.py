@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.config import ChunkingConfig
+from quirefold.config import ChunkingConfig, SegmentationError
 from quirefold.functions import rows as parts
 from quirefold.functions import text as fx
+from quirefold.functions.sentences import abbreviation_scores
 from quirefold.functions.tokens import WORD_COUNTER
 from quirefold.operators import policy, units
 from quirefold.operators.sections import path_groups, section_paths
@@ -298,6 +299,99 @@ def rebuilt_texts(spark, folder):
     return made.join(back, "chunk_id").groupBy((F.col("text") == F.col("rebuilt")).alias("equal")).agg(F.count("*").alias("chunks"))
 
 
+def default_sentences(spark, folder):
+    return parts.sentence_rows(_frames(spark, folder)[1].select("doc_id", "page_index", "text"))
+
+
+def learnt_abbreviations(spark, folder):
+    scores = abbreviation_scores(_table(spark, folder, "page_records"))
+    return scores.filter("score >= 0.3").select("word", "dotted", "plain")
+
+
+def _refusal(spark: SparkSession, work) -> DataFrame:
+    try:
+        work()
+        said = None
+    except SegmentationError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "message string")
+
+
+def strict_refusal(spark, folder):
+    """Where strict reading stops at lines of which every thirteenth is cut in the middle."""
+    lines = _lines(spark, folder)
+    cut = F.when(F.col("line_no") % 13 == 12, F.expr("substring(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    path = scratch(spark, "lines")
+    lines.withColumn("value", cut).orderBy("line_no").select("value").coalesce(1).write.text(path)
+    said = _refusal(spark, lambda: jsonl.read_records(spark, path, strict=True))
+    return said.select(F.regexp_extract("message", "^line ([0-9]+): ", 1).cast("long").alias("line_no"))
+
+
+def scan_refusal(spark, folder):
+    return _refusal(spark, lambda: _run(spark, folder, "page", on_ocr_needed="error"))
+
+
+def single_file(spark, folder):
+    """The lines of one output file in their order."""
+    read = _stream(spark, _lines(spark, folder))
+    cfg = _config("page")
+    made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
+    path = scratch(spark, "chunks")
+    jsonl.write_lines(made, cfg, path, CREATED, single_file=True)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "line"))
+    x = lines.select(F.col("pos").cast("long"), F.from_json("line", "record_type string, chunk_id string").alias("x"))
+    return x.select("pos", "x.record_type", "x.chunk_id")
+
+
+def skip_order(spark, folder):
+    """Skipped pages as the manifest lists them."""
+    read = _stream(spark, _lines(spark, folder))
+    cfg = _config("page")
+    made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
+    line = jsonl.manifest_line(spark, cfg, made.stats, made.skipped, made.documents, CREATED)
+    kind = "skipped_pages array<struct<doc_id: string, page_index: long, reason: string>>"
+    x = line.select(F.posexplode(F.from_json("value", kind)["skipped_pages"]).alias("pos", "s"))
+    return x.select(F.col("pos").cast("long"), "s.doc_id", "s.page_index", "s.reason")
+
+
+def lax_values(spark, folder):
+    """Pages whose numbers come as strings and floats, and whose flags come as words and numbers."""
+    n, number, ocr = F.col("line_no"), F.col("page_index").cast("string"), F.col("needs_ocr")
+    index = (
+        F.when(n % 4 == 1, F.concat(F.lit('" '), number, F.lit(' "')))
+        .when(n % 4 == 2, F.concat(number, F.lit(".0")))
+        .when(n % 4 == 3, F.concat(F.lit('"'), number, F.lit('.0"')))
+        .otherwise(number)
+    )
+    flag = (
+        F.when(n % 3 == 1, F.when(ocr, '"Yes"').otherwise('"off"')).when(n % 3 == 2, F.when(ocr, "1").otherwise("0.0")).otherwise(ocr.cast("string"))
+    )
+    head = F.to_json(F.struct("record_type", "doc_id", "page_label", "text"), {"ignoreNullFields": "false"})
+    line = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"page_index":'), index, F.lit(',"needs_ocr":'), flag, F.lit("}"))
+    pages = _table(spark, folder, "page_records").select("line_no", line.alias("value"))
+    docs = _lines(spark, folder).filter(F.col("value").startswith('{"record_type":"document"'))
+    read = _stream(spark, docs.unionByName(pages))
+    return read.pages.select("doc_id", "page_index", "needs_ocr", F.col("seq").alias("stream_line"))
+
+
+def late_pages(spark, folder):
+    """Documents that became whole, and pages that came after, of four files in line order."""
+    from quirefold.streaming.assembly import CLOSING, closing, records
+
+    base = scratch(spark, "late")
+    lines = _lines(spark, folder)
+    top = lines.agg(F.max("line_no") + 1).first()[0] or 1
+    for k in range(4):
+        part = lines.filter(F.expr(f"line_no * 4 div {top} = {k}"))
+        part.orderBy("line_no").select("value").coalesce(1).write.text(f"{base}/in/{k}")
+    query = (
+        closing(records(spark, f"{base}/in/*", 1)).writeStream.format("parquet").outputMode("append")
+        .option("path", f"{base}/events").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(CLOSING).parquet(f"{base}/events")
+
+
 QUERIES = {
     "q01_page_chunks": page_chunks,
     "q02_word_offsets": word_offsets,
@@ -336,6 +430,14 @@ QUERIES = {
     "q31_token_windows": token_windows,
     "q32_range_spans": range_spans,
     "q33_rebuilt_texts": rebuilt_texts,
+    "q34_default_sentences": default_sentences,
+    "q35_learnt_abbreviations": learnt_abbreviations,
+    "q36_strict_refusal": strict_refusal,
+    "q37_scan_refusal": scan_refusal,
+    "q38_single_file": single_file,
+    "q39_skip_order": skip_order,
+    "q40_late_pages": late_pages,
+    "q41_lax_values": lax_values,
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.config import ChunkingConfig
 from quirefold.functions import tokens as tok
+from quirefold.functions.sentences import Splitter
 from quirefold.operators import policy, segments
 from quirefold.operators.sections import section_paths
 from quirefold.schemas import DOCUMENTS, PAGES
@@ -70,18 +71,20 @@ def run(
     cfg: ChunkingConfig | None = None,
     orphans: DataFrame | None = None,
     invalid: DataFrame | None = None,
-    tokenizer: str | None = None,
-    splitter: str = "abbreviations",
+    tokenizer=None,
+    splitter: str | Splitter = "abbreviations",
 ) -> Run:
     """Cut pages (schemas.PAGES) of documents (schemas.DOCUMENTS) into chunks.
 
     The pieces are cut at once and stored in the shared folder; the frames of the
     result read them from there.
-    ``tokenizer`` defaults to the config's model, resolved once on the driver.
+    ``tokenizer`` defaults to the config's model, resolved once on the driver; it may
+    be a counter object (see functions.tokens), and ``splitter`` a function from a
+    text to sentence ranges.
     Raises SegmentationError for a scanned page under the error policy.
     """
     cfg = cfg or ChunkingConfig()
-    shipped = tok.resolve(tokenizer or cfg.tokenizer_model)
+    shipped = tok.resolve(cfg.tokenizer_model if tokenizer is None else tokenizer)
     # further columns of the frames are not looked at
     documents = documents.select(*(f.name for f in DOCUMENTS))
     pages = pages.select(*(f.name for f in PAGES))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from quirefold.functions.sentences import ABBREVIATIONS, EDGES
+
 #: White space as in quirefold.constants, in RE2's spelling.
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NON_WS = WS.replace("[", "[^", 1)
@@ -360,3 +364,53 @@ runt AS (
   WHERE n > 64 AND n % 64 BETWEEN 1 AND 7 AND a.path = b.path
 )
 SELECT true AS equal, CAST(sum(ceil(n / 64.0)) - (SELECT count(*) FROM runt) AS BIGINT) AS chunks FROM w"""
+
+
+_MARKS = "[\"''”’)\\]]"
+_ABBREVIATIONS = ", ".join(f"'{w}'" for w in sorted(ABBREVIATIONS))
+ORACLES["q34_default_sentences"] = f"""WITH {BASE.replace("WHERE reason IS NULL", "WHERE NOT blank")},
+lead0 AS (SELECT *, length(text) - length(regexp_replace(text, '^{WS}+', '')) AS lead, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS body FROM usable),
+m0 AS (SELECT doc_id, page_index, lead, string_split(regexp_replace(body, '([.!?]{_MARKS}*)({WS}+)', '\\1' || chr(1) || '\\2' || chr(1), 'g'), chr(1)) AS rs FROM lead0),
+m1 AS (SELECT doc_id, page_index, lead, unnest(rs) AS r, unnest(range(len(rs))) AS i FROM m0),
+m2 AS (SELECT *, CAST(lead + sum(length(r)) OVER (PARTITION BY doc_id, page_index ORDER BY i) AS BIGINT) AS e FROM m1),
+m3 AS (SELECT *, lag(r) OVER (PARTITION BY doc_id, page_index ORDER BY i) AS before FROM m2 WHERE i % 2 = 0),
+m4 AS (SELECT *, lower(regexp_replace(regexp_extract(right(regexp_replace(before, '\\.{_MARKS}*$', ''), 24), '{NON_WS}+$'), '^[(\\["''“‘]+', '')) AS word,
+              regexp_matches(before, '\\.{_MARKS}*$') AS stop FROM m3),
+m5 AS (SELECT *, CASE WHEN before IS NULL OR regexp_matches(r, '^\\p{{Ll}}') OR stop AND (word IN ({_ABBREVIATIONS}) OR regexp_matches(word, '^\\p{{L}}$')) THEN 0 ELSE 1 END AS new FROM m4),
+m6 AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, page_index ORDER BY i) AS BIGINT) AS sentence_no FROM m5)
+SELECT doc_id, page_index, sentence_no, min(e - length(r)) AS char_start, max(e) AS char_end FROM m6 GROUP BY ALL"""
+
+_EDGES = "[" + re.escape(EDGES).replace("'", "''") + "]"
+ORACLES["q35_learnt_abbreviations"] = f"""WITH w0 AS (SELECT unnest(string_split_regex(text, '{WS}+')) AS w FROM page_records),
+w1 AS (SELECT regexp_replace(lower(w), '^{_EDGES}+|{_EDGES}+$', '', 'g') AS w FROM w0 WHERE w <> ''),
+w2 AS (SELECT regexp_replace(w, '\\.$', '') AS word, w LIKE '%.' AS dot FROM w1),
+c AS (SELECT word, count_if(dot) AS dotted, count_if(NOT dot) AS plain FROM w2 WHERE regexp_matches(word, '^\\p{{L}}[\\p{{L}}.]*$') GROUP BY word),
+t AS (SELECT sum(dotted) / sum(dotted + plain) AS p FROM c),
+l AS (SELECT *, length(replace(word, '.', '')) AS letters FROM c, t WHERE dotted > 0),
+s AS (SELECT *, 2 * (dotted * ln(0.99) + plain * ln(0.01) - dotted * ln(p) - plain * ln(1 - p)) * exp(-letters) * (length(word) - letters + 1) / pow(letters, plain) AS score FROM l)
+SELECT word, CAST(dotted AS BIGINT) AS dotted, CAST(plain AS BIGINT) AS plain FROM s WHERE score >= 0.3"""
+ORACLES["q36_strict_refusal"] = f"WITH {_STREAM} SELECT min(stream_line) AS line_no FROM seen WHERE line_no % 13 = 12"
+ORACLES["q37_scan_refusal"] = f"""WITH {BASE} SELECT 'document ''' || doc_id || ''', page ' || page_index || ': text recognition is needed' AS message
+FROM pg WHERE needs_ocr ORDER BY doc_id, page_index LIMIT 1"""
+ORACLES["q38_single_file"] = f"""WITH {_STREAM}, {_STREAM_CHUNKS},
+x AS (SELECT row_number() OVER (ORDER BY document_line, chunk_index) - 1 AS pos, 'chunk' AS record_type, printf('%s::c%04d', doc_id, chunk_index) AS chunk_id FROM numbered)
+SELECT * FROM x UNION ALL SELECT count(*), 'manifest', NULL FROM x"""
+ORACLES["q39_skip_order"] = f"""WITH {_STREAM}, {_STREAM_CHUNKS},
+d AS (SELECT stream_line, lead(stream_line) OVER (ORDER BY stream_line) AS closes FROM seen WHERE kind = 'document'),
+x AS (
+  SELECT stream_line AS place, 0 AS g, 0 AS document_line, page_index, stream_line, doc_id, 'invalid_record' AS reason FROM seen WHERE kind = 'page' AND owner IS DISTINCT FROM doc_id
+  UNION ALL
+  SELECT coalesce(d.closes, 4611686018427387904), 1, o.document_line, o.page_index, o.stream_line, o.doc_id, CASE WHEN needs_ocr THEN 'needs_ocr' ELSE 'empty_text' END
+  FROM own o JOIN d ON d.stream_line = o.document_line WHERE needs_ocr OR NOT regexp_matches(text, '{NON_WS}')
+)
+SELECT row_number() OVER (ORDER BY place, g, document_line, page_index, stream_line) - 1 AS pos, doc_id, page_index, reason FROM x"""
+ORACLES["q40_late_pages"] = """WITH top AS (SELECT greatest((SELECT max(line_no) FROM document_records), (SELECT max(line_no) FROM page_records)) + 1 AS top),
+p AS (SELECT doc_id, page_index, min(line_no * 4 // top) AS k FROM page_records, top GROUP BY doc_id, page_index),
+c AS (SELECT doc_id, k, max(page_count) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM (SELECT doc_id, line_no * 4 // top AS k, max(page_count) AS page_count FROM document_records, top GROUP BY 1, 2)),
+steps AS (SELECT doc_id, k FROM p UNION SELECT doc_id, k FROM c),
+state AS (SELECT s.doc_id, s.k, (SELECT max(n) FROM c WHERE c.doc_id = s.doc_id AND c.k <= s.k) AS n, (SELECT count(*) FROM p WHERE p.doc_id = s.doc_id AND p.k <= s.k) AS pages FROM steps s),
+whole AS (SELECT doc_id, min(k) AS k FROM state WHERE n IS NOT NULL AND n <= pages GROUP BY doc_id)
+SELECT w.doc_id, 'closed' AS event, CAST(NULL AS BIGINT) AS page_index, s.pages FROM whole w JOIN state s USING (doc_id, k)
+UNION ALL
+SELECT p.doc_id, 'late', p.page_index, (SELECT count(*) FROM p q WHERE q.doc_id = p.doc_id AND q.k < p.k) FROM p JOIN whole w ON w.doc_id = p.doc_id AND p.k > w.k"""
+ORACLES["q41_lax_values"] = f"""WITH {_STREAM} SELECT s.doc_id, s.page_index, p.needs_ocr, s.stream_line FROM seen s JOIN page_records p USING (line_no) WHERE s.kind = 'page' AND s.owner = s.doc_id"""

@@ -18,7 +18,7 @@ def now() -> str:
 
 def process(
     spark: SparkSession, source: str, target: str | None, cfg: ChunkingConfig | None = None, created_at: str | None = None,
-    single_file: bool = False, tokenizer: str | None = None, splitter: str = "abbreviations",
+    single_file: bool = False, tokenizer=None, splitter="abbreviations",
 ) -> Run:
     """Read ``source``, cut it, and write chunks and manifest to ``target``.
 

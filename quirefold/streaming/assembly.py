@@ -29,6 +29,9 @@ _DOC = T.StructType([f for f in DOCUMENTS.fields if f.name != "doc_key"])
 _PAGE = T.StructType([f for f in PAGES.fields if f.name not in ("doc_key", "seq")])
 RECORDS = T.StructType(
     [
+        T.StructField("file", T.StringType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("idx", T.LongType()),
         T.StructField("kind", T.StringType()),
         T.StructField("doc_id", T.StringType()),
         T.StructField("error", T.StringType()),
@@ -40,36 +43,39 @@ RECORDS = T.StructType(
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = to_arrow_schema(RECORDS)
+    here, idx = None, 0
     for batch in batches:
         rows = []
-        for line in batch.column(0).to_pylist():
+        for line, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != here:
+                here, idx = (file, block), 0
+            idx += 1
             if line.strip():
                 kind, record, error = read_line(line)
-                rows.append({"kind": kind, "doc_id": record and record["doc_id"], "error": error, "document": record if kind == "document" else None, "page": record if kind == "page" else None})
+                rows.append({"file": file, "block": block, "idx": idx, "kind": kind, "doc_id": record and record["doc_id"], "error": error, "document": record if kind == "document" else None, "page": record if kind == "page" else None})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def records(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The lines of all files in ``path``, now and later, as records (RECORDS)."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select("value").mapInArrow(_parse, RECORDS)
+    return lines.select("value", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).mapInArrow(_parse, RECORDS)
 
 
 CLOSING = "doc_id string, event string, page_index long, pages long"
 
 
 def _close(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A micro-batch has no order: what closes a document is judged after all its rows."""
     count, seen, closed = state.get if state.exists else (-1, [], False)
     seen = set(seen)
-    out = []
+    new: set[int] = set()
     for frame in frames:
-        for kind, page_count, page_index in zip(frame["kind"], frame["page_count"], frame["page_index"]):
-            if kind == "document":
-                count = max(count, int(page_count))
-            elif closed and int(page_index) not in seen:
-                out.append((key[0], "late", int(page_index), len(seen)))
-            else:
-                seen.add(int(page_index))
+        whole = frame["kind"] == "document"
+        count = max([count, *map(int, frame["page_count"][whole])])
+        new |= set(map(int, frame["page_index"][~whole])) - seen
+    out = [(key[0], "late", i, len(seen)) for i in sorted(new)] if closed else []
+    seen |= new
     if not closed and 0 <= count <= len(seen):
         closed = True
         out.append((key[0], "closed", None, len(seen)))
@@ -99,20 +105,22 @@ def append_batch(out: str):
 def finish(spark: SparkSession, out: str, cfg: ChunkingConfig, created_at: str | None = None, **options) -> Run:
     """Chunks, skipped pages and manifest of all records so far, beside them in ``out``.
 
-    A document's and a page's repeated records count once; pages without a
-    document are orphans.
+    A document's and a page's repeated records count once; as with tables, the first
+    stays: of the earliest batch, in it of the file that is first by name, in it of
+    the first line. Pages without a document are orphans.
     """
     rows = spark.read.schema(T.StructType([*RECORDS.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/records")
+    arrival = F.struct("batch", "file", "block", "idx")
     documents = (
         rows.filter("kind = 'document'")
         .groupBy("doc_id")
-        .agg(F.max(F.struct("document.page_count", F.to_json("document").alias("x"), "document")).alias("d"))
-        .select(F.col("doc_id").alias("doc_key"), "d.document.*")
+        .agg(F.min_by("document", arrival).alias("d"))
+        .select(F.col("doc_id").alias("doc_key"), "d.*")
     )
     pages = (
         rows.filter("kind = 'page'")
         .groupBy("doc_id", F.col("page.page_index").alias("page_index"))
-        .agg(F.min(F.struct("batch", "page.text", "page.page_label", "page.needs_ocr")).alias("p"))
+        .agg(F.min_by(F.struct("batch", "page.text", "page.page_label", "page.needs_ocr"), arrival).alias("p"))
         .select(
             F.col("doc_id").alias("doc_key"), "doc_id", F.col("p.batch").alias("seq"), "page_index", "p.page_label", "p.text", "p.needs_ocr"
         )

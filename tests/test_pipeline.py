@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from quirefold import cli, tool
 from quirefold.config import ChunkingConfig, SegmentationError
 from quirefold.functions import text as fx
-from quirefold.functions.tokens import FileTokenizer, load, resolve
+from quirefold.functions.sentences import TrainedSplitter, train_splitter
+from quirefold.functions.tokens import FileTokenizer, FunctionCounter, load, resolve
 from quirefold.operators.numbering import running_before
 from quirefold.operators.sections import section_paths
 from quirefold.plans.catalog import word_level_tokenizer
@@ -149,6 +151,54 @@ def test_outline(spark, toc, pages, want):
     assert [got.get(i, "") for i in range(pages)] == want
 
 
+def test_an_outline_over_a_huge_page_number(spark):
+    d, p = frames(spark, [doc(pages=1, toc=[entry("A", 0, 0), entry("B", 0, 300)])], [page(index=i) for i in (0, 299, 300, 2_000_000_000)])
+    assert {r.page_index: r.section_path for r in section_paths(d, p).collect()} == {0: ["A"], 299: ["A"], 300: ["B"], 2_000_000_000: ["B"]}
+
+
+def test_a_callers_own_counter_and_splitter(spark):
+    """A token for each letter, and sentences that end at semicolons."""
+    letters = FunctionCounter(lambda t: sum(c.isalpha() for c in t), lambda t: [(i, i + 1) for i, c in enumerate(t) if c.isalpha()])
+    halves = lambda t: [m.span() for m in re.finditer(r"[^; ][^;]*;?", t)]
+    d, p = frames(spark, [doc()], [page(text="ab cd; ef; gh")])
+    rows = run(d, p, config("sentence", max_tokens=6), tokenizer=letters, splitter=halves).chunks.orderBy("chunk_index").collect()
+    assert [(r.text, r.token_count) for r in rows] == [("ab cd; ef;", 6), ("gh", 2)]
+    rows = run(d, p, config("fixed-size", max_tokens=3), tokenizer=letters).chunks.orderBy("chunk_index").collect()
+    assert [r.text for r in rows] == ["ab c", "d; ef", "gh"]
+    with pytest.raises(ValueError):
+        run(d, p, config(), splitter="none")
+    with pytest.raises(TypeError):
+        run(d, p, config(), tokenizer=len)
+    with pytest.raises(ValueError):
+        FunctionCounter(len).offsets("x")
+
+
+def test_model_folder(tmp_path, monkeypatch):
+    (tmp_path / "own" / "model").mkdir(parents=True)
+    (tmp_path / "own" / "model" / "tokenizer.json").write_text(word_level_tokenizer())
+    monkeypatch.setenv("QUIREFOLD_TOKENIZERS", str(tmp_path))
+    assert load(resolve("own/model")).count("a b") == 2
+
+
+def test_learnt_abbreviations(spark):
+    """Words nearly always followed by a stop are learnt in any language, common ends of sentences are not."""
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)]
+    texts = []
+    for _ in range(400):
+        body = " ".join(rng.choice(words) for _ in range(8))
+        texts.append(f"Kade {body} prof. Lund {body}. Kade zzgl. {body} u.a. {rng.choice(words)} {body}.")
+    texts += ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = train_splitter(rows)
+    assert {"prof", "zzgl", "u.a"} <= model.abbreviations and not set(words) & model.abbreviations
+    assert "kade" in model.starters
+    text = "He met prof. Lund there. Kade left. It is zzgl. Kade again."
+    assert [text[a:b] for a, b in model(text)] == ["He met prof. Lund there.", "Kade left.", "It is zzgl.", "Kade again."]
+    assert TrainedSplitter.from_json(model.to_json()) == model
+    assert train_splitter(rows.limit(0)) == TrainedSplitter(frozenset(), frozenset())
+
+
 def test_contract_and_paths(spark, stream):
     text = "one two three. four five."
     path = stream(doc(pages=3, toc=[entry("Ch 1", 0, 0)]), page(text=text), page(index=1, text="a b c d. e f."), page(index=2, ocr=True))
@@ -264,7 +314,9 @@ def test_tool(spark, stream, tmp_path):
     assert len(properties) == 9 and "strict" not in properties and properties["max_tokens"]["default"] == 512
     good = {"input_path": stream(doc(), page()), "output_path": str(tmp_path / "o.jsonl"), "tokenizer_model": "word-counter", "unknown": 1}
     got = tool.run_tool(good, spark)
-    assert got["ok"] and got["chunks_written"] == 1 and got["pages_skipped"] == 0
+    assert got["ok"] and got["chunks_written"] == 1 and got["pages_skipped"] == []
+    some = tool.run_tool(good | {"input_path": stream(doc(pages=2), page(), page(index=1, ocr=True), name="ocr.jsonl")}, spark)
+    assert some["pages_skipped"] == [{"doc_id": "d1", "page_index": 1, "reason": "needs_ocr"}]
     assert tool.run_tool({"output_path": "x"}, spark)["ok"] is False
     assert tool.run_tool(good | {"max_tokens": 3}, spark)["ok"] is False
     assert tool.run_tool(good | {"input_path": str(tmp_path / "none.jsonl")}, spark)["ok"] is False

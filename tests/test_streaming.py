@@ -25,6 +25,17 @@ def test_files_that_arrive_in_turn(spark, tmp_path):
     assert json.loads(spark.read.text(f"{out}/manifest").first().value)["stats"] == stats
 
 
+def test_the_first_of_repeated_records_stays(spark, tmp_path):
+    """As with tables: neither the largest page count nor the smallest text decides."""
+    source = tmp_path / "in"
+    source.mkdir()
+    put(source, "1.jsonl", [doc("a", 1, source_path="/first"), doc("a", 9, source_path="/second"), page("a", 0, "zeta"), page("a", 0, "alpha")])
+    put(source, "2.jsonl", [doc("a", 12, source_path="/third"), page("a", 0, "aaa")])
+    made = run_available(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"), config())
+    (row,) = made.chunks.collect()
+    assert (row.text, row.source_doc.source_path) == ("zeta", "/first")
+
+
 def test_closing_and_late_pages(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
