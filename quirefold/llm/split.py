@@ -1,6 +1,6 @@
 """Splitting oversized texts at natural boundaries.
 
-Method: dynamic programming over the boundary positions of a text. A piece is a
+Method: dynamic programming over all boundary positions of a text. A piece is a
 run of words; a cut costs by the edge it uses (paragraph, sentence, word, inside
 a word) and by how far the piece is from an even share of the text. Every piece
 keeps both limits, and a piece after the first begins ``overlap_words`` words
@@ -127,38 +127,40 @@ def pieces(text: str, limits: Limits) -> list[tuple[int, int]]:
     low = np.maximum(fits, at - most + 1)
     if low[-1] == 0:
         return [(int(s[0]), int(e[-1]))]
-    # candidate cuts: better edges alone, and plain ones where those lie too far apart
-    cuts = np.flatnonzero(edge <= SENTENCE)
-    wide: list[np.ndarray] = []
-    before = -1
-    for c in cuts:
-        if (begin[before + 1] if before >= 0 else 0) < low[c]:
-            wide.append(np.arange(before + 1, c))
-        before = c
-    if wide:
-        cuts = np.unique(np.concatenate([cuts, *wide]))
-    cuts = cuts if len(cuts) and cuts[-1] == n - 1 else np.r_[cuts, n - 1]
-    first = np.r_[0, begin[cuts[:-1] + 1]]  # of the piece after the k-th earlier cut (0: none)
+    # every word edge is a candidate: state k is a piece that begins after a cut before word k
+    first = begin.copy()
+    first[0] = 0
+    # the first state that a piece up to word c can have; where overlaps had to be cut short, later ones may still be too early
+    oldest = np.searchsorted(np.maximum.accumulate(first), low, side="left").tolist()
+    uneven = bool((first[1:] < first[:-1]).any())
+    starts, ends = s[first].astype(np.float64), e.astype(np.float64)
     share = (e[-1] - s[0]) / max(1.0, np.ceil(max((e[-1] - s[0]) / chars, n / most)))
-    best = np.full(len(cuts) + 1, np.inf)
+    at_cut = (PIECE + COST[edge]).tolist()
+    at_cut[-1] = PIECE
+    best = np.full(n + 1, np.inf)
     best[0] = 0.0
-    prev = np.zeros(len(cuts) + 1, np.int64)
-    for k, c in enumerate(cuts):
-        a = int(np.searchsorted(cuts[:k], low[c] - 1, side="left")) + 1 if low[c] else 0
-        if a > k:
+    prev = [0] * (n + 1)
+    starts += share
+    weight = BALANCE / share**2
+    for c in range(n):
+        a = oldest[c]
+        if a > c:
             continue
-        here = first[a : k + 1]
-        span = (e[c] - s[here]) / share
-        cost = np.where(here >= low[c], best[a : k + 1] + BALANCE * np.square(1.0 - span), np.inf)
-        j = int(np.argmin(cost))
-        best[k + 1] = cost[j] + PIECE + COST[edge[c]] * (c != n - 1)
-        prev[k + 1] = a + j
+        off = starts[a : c + 1] - ends[c]
+        off *= off
+        off *= weight
+        off += best[a : c + 1]
+        if uneven:
+            off[first[a : c + 1] < low[c]] = np.inf
+        j = int(off.argmin())
+        best[c + 1] = off[j] + at_cut[c]
+        prev[c + 1] = a + j
     assert np.isfinite(best[-1]), "every word fits the limits, so a way exists"
-    out, k = [], len(cuts)
+    out, k = [], n
     while k:
         p = prev[k]
-        out.append((int(s[first[p]]), int(e[cuts[k - 1]])))
-        k = int(p)
+        out.append((int(s[first[p]]), int(e[k - 1])))
+        k = p
     return out[::-1]
 
 

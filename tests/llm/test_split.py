@@ -1,9 +1,10 @@
 import random
+from math import ceil
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quirefold.llm.split import Limits, pieces, span_pieces, split_oversized
+from quirefold.llm.split import BALANCE, COST, PIECE, Limits, atoms, pieces, span_pieces, split_oversized
 
 
 def check(text, limits):
@@ -29,6 +30,40 @@ def test_limits_and_cover(text, words, chars, overlap):
     check(text, Limits(words, chars, overlap))
 
 
+def cost_of(found, text, limits):
+    """What a way of cutting costs, after the definition."""
+    s, e, edge = atoms(text, limits.max_chars)
+    share = (e[-1] - s[0]) / max(1.0, ceil(max((e[-1] - s[0]) / limits.max_chars, len(s) / limits.max_words)))
+    at = {int(x): int(k) for x, k in zip(e, edge)}
+    total = 0.0
+    for a, b in found:
+        total += PIECE + BALANCE * (1 - (b - a) / share) ** 2 + (COST[at[b]] if b != e[-1] else 0)
+    return total
+
+
+def brute(text, limits):
+    """The least cost over all ways of cutting at word edges (no overlap, no long words)."""
+    s, e, edge = (x.tolist() for x in atoms(text, limits.max_chars))
+    n = len(s)
+    share = (e[-1] - s[0]) / max(1.0, ceil(max((e[-1] - s[0]) / limits.max_chars, n / limits.max_words)))
+    best = [0.0] + [float("inf")] * n
+    for c in range(n):
+        for k in range(c + 1):
+            if e[c] - s[k] <= limits.max_chars and c - k < limits.max_words:
+                more = PIECE + BALANCE * (1 - (e[c] - s[k]) / share) ** 2 + (COST[edge[c]] if c < n - 1 else 0)
+                best[c + 1] = min(best[c + 1], best[k] + more)
+    return best[n]
+
+
+def test_no_cheaper_way_exists():
+    rng = random.Random(11)
+    for _ in range(300):
+        text = " ".join(rng.choice(["a", "bb", "ccc.", "dd", "ee\n\nf", "Gggg."]) for _ in range(rng.randint(5, 60)))
+        limits = Limits(rng.randint(2, 12), rng.randint(20, 60), 0)
+        if len(text.split()) > limits.max_words or len(text) > limits.max_chars:
+            assert abs(cost_of(check(text, limits), text, limits) - brute(text, limits)) < 1e-6
+
+
 def test_edges_are_preferred():
     text = "aa bb cc. dd ee ff.\n\ngg hh ii. jj kk ll."
     assert [text[a:b] for a, b in pieces(text, Limits(6, 100, 0))] == ["aa bb cc. dd ee ff.", "gg hh ii. jj kk ll."]
