@@ -32,5 +32,5 @@ def test_frame(spark):
         assert bins.agg(F.max("n")).first()[0] <= capacity
         assert own.filter(F.col("piece") > 0).join(items, "item_id").filter(F.col("n_tokens") <= capacity).isEmpty()
     for r in fill_report(got, capacities).collect():
-        assert r.fill > 0.97 if r.container_kind == "large" else 0.85
+        assert r.fill > (0.97 if r.container_kind == "large" else 0.85)
     assert pack_items(items.filter("false"), capacities).count() == 0
