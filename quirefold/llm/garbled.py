@@ -9,11 +9,14 @@ encoding, decode with the right one) are tried inside the runs only, and the
 mapping that makes a document's runs most probable under the pair counts is
 applied, up to three times over for text garbled repeatedly.
 
-Bound: the PAIRS commonest pairs have entries in the model; all pairs are counted.
+Bound: pairs in at least SHARE of the documents have entries in the model, so its
+size is bounded by the distinct pairs of a document over SHARE, however many
+documents there are; all pairs are counted, and a pair without an entry counts as
+half the least that has one.
 
 Defined results
   * a text is a case if some mapping makes its runs clearly more probable, or if
-    it holds U+FFFD or a C1 control, which no right decoding leaves;
+    an improbable run holds U+FFFD or a C1 control, which no right decoding leaves;
   * what cannot be regained stays as it is; null and empty texts are not cases;
   * repeated rows each have a result.
 """
@@ -24,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import script
 from quirefold.session import staged
 
-#: Entries of the model, and the least number of documents for one.
-PAIRS, LEAST = 400_000, 2
+#: Share of the documents, and the least number of them, for an entry of the model.
+SHARE, LEAST = 2e-5, 2
 #: Share of the documents in its script that a rare character counts for, and the bar in nats.
 FLOOR, BAR = 0.08, 1.2
 #: Gain in nats that a mapping needs over a document, over a single run and, unless it
@@ -55,6 +59,7 @@ MAPPINGS = (
     *((w, r) for w in CYRILLIC for r in CYRILLIC if w != r),
     *((w, r) for w in ("latin_1", "cp1252", "mac_roman", "cp437") for r in (*CYRILLIC, "cp1253", "iso8859_7", "cp1256", "cp874", "gbk", "cp932", "euc_jp", "big5")),
     *((w, r) for w in CYRILLIC[:3] for r in ("cp1252", "gbk", "cp1253")),
+    *(("latin_1", r) for r in ("cp1252", "mac_roman", "cp437", "cp850")),
     ("gbk", "cp932"), ("gbk", "euc_jp"), ("gbk", "cp1251"), ("gbk", "big5"), ("cp932", "gbk"), ("cp932", "euc_jp"),
 )
 
@@ -117,13 +122,18 @@ def restored(run: str, wrong: str, right: str) -> str | None:
     return None if got == run else got
 
 
+def least_documents(documents: int) -> int:
+    """How many documents must hold a pair that has an entry."""
+    return max(LEAST, round(SHARE * documents))
+
+
 class Pairs:
     """Log shares of documents of characters and adjacent pairs."""
 
     def __init__(self, count: dict[str, int], documents: int):
         self.n = max(1, documents)
         self.count = count
-        self.unseen = math.log(0.3 / self.n)
+        self.unseen = math.log(0.15 * least_documents(self.n) / self.n)
         self.memo: dict[str, float] = {}
         self.bad: dict[str, float] = {}
         self.scripts = {k[len(SCRIPT) :]: v for k, v in count.items() if k.startswith(SCRIPT)}
@@ -175,7 +185,8 @@ class Pairs:
 
     def score(self, text: str) -> float:
         share = self.share
-        return sum([share(a + b) for a, b in zip(text, text[1:])])
+        known = self.memo.get
+        return sum([share(x) if (y := known(x)) is None else y for x in map(add, text, text[1:])])
 
 
 def segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -203,7 +214,7 @@ def segments(scores: list[float]) -> list[tuple[int, int]]:
 def runs(text: str, model: Pairs) -> list[tuple[int, int]]:
     """Improbable runs as (start, end), widened to whole stretches beyond ASCII."""
     out: list[tuple[int, int]] = []
-    improbable = model.improbable
+    improbable, known = model.improbable, model.bad.get
     stretches: list[list[int]] = []
     for m in NEAR.finditer(text):
         # short plain pieces inside a run may be trail bytes
@@ -213,7 +224,7 @@ def runs(text: str, model: Pairs) -> list[tuple[int, int]]:
             stretches.append([m.start(), m.end()])
     for a, b in stretches:
         piece = text[a:b]
-        scores = [improbable(x + y) for x, y in zip(piece, piece[1:])]
+        scores = [improbable(x) if (y := known(x)) is None else y for x in map(add, piece, piece[1:])]
         if not scores or max(scores) <= 0:
             continue
         for i, j in segments(scores):
@@ -333,14 +344,22 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def train(rows: DataFrame, pairs: int = PAIRS, least: int = LEAST) -> tuple[dict[str, int], int]:
-    """Counts over all rows (row_id, text); the commonest ``pairs`` entries come to the driver."""
+def train(rows: DataFrame) -> tuple[dict[str, int], int]:
+    """Counts over all rows (row_id, text); entries of pairs in enough documents come to the driver."""
     counts = staged(
         rows.select("row_id", "text").mapInArrow(count_pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     )
-    kept = counts.filter((F.col("n") >= least) | (F.col("pair") == "")).orderBy(F.desc("n"), "pair").limit(pairs + 1)
-    model = {r[0]: r[1] for r in kept.collect()}
-    return model, model.pop("", 0)
+    documents = counts.filter("pair = ''").agg(F.sum("n")).first()[0] or 0
+    kept = counts.filter(F.col("pair").startswith(SCRIPT) | (F.col("n") >= least_documents(documents)) & (F.col("pair") != ""))
+    return {r[0]: r[1] for r in kept.collect()}, documents
+
+
+def broken(text: str, model: Pairs) -> bool:
+    """Whether an improbable run of a text holds what no right decoding leaves."""
+    if not BROKEN.search(text):
+        return False
+    padded = f" {text} "  # a character alone has a neighbour, too
+    return any(BROKEN.search(padded, s, e) for s, e in runs(padded, model))
 
 
 def mend(model):
@@ -355,7 +374,7 @@ def mend(model):
                 bad = False
                 if text and not text.isascii():
                     new, changed, used = repair(text, pairs)
-                    bad = changed > 0 or BROKEN.search(text) is not None
+                    bad = changed > 0 or broken(text, pairs)
                 rows.append(row)
                 texts.append(new)
                 found.append(bad)

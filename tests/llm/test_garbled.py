@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quirefold.llm.garbled import Pairs, repair, segments, ungarbled
+from quirefold.llm.garbled import Pairs, broken, least_documents, repair, segments, ungarbled
 
 CLEAN = {
     "de": "Die größere Mühle wurde geprüft und später für schöne Gäste geöffnet.",
@@ -13,7 +13,7 @@ CLEAN = {
 }
 WAYS = [
     ("de", "utf_8", "cp1252"), ("fr", "utf_8", "latin_1"), ("fr", "cp1252", "cp437"), ("ru", "cp1251", "koi8_r"),
-    ("ru", "utf_8", "cp1251"), ("zh", "gbk", "latin_1"), ("en", "utf_8", "mac_roman"), ("de", "cp1252", "cp437"),
+    ("ru", "utf_8", "cp1251"), ("zh", "gbk", "latin_1"), ("en", "utf_8", "mac_roman"), ("de", "cp1252", "cp437"), ("fr", "mac_roman", "latin_1"), ("de", "cp850", "latin_1"),
 ]
 
 
@@ -59,6 +59,19 @@ def test_segments_are_maximal():
         assert max([0.0] + [sum(x[i:j]) for i, j in found]) == pytest.approx(best)
 
 
+def test_the_model_is_bounded_by_shares():
+    """However many documents there are, a pair without an entry counts for the same share."""
+    small, large, huge = (Pairs({}, n) for n in (10**5, 10**8, 10**10))
+    assert least_documents(1000) == least_documents(10**5) == 2 and least_documents(10**8) == 2000
+    assert small.unseen == pytest.approx(large.unseen) == pytest.approx(huge.unseen)
+
+
+def test_broken_characters_are_improbable_runs():
+    model = Pairs({"é": 50, "é ": 40, "fé": 30}, 100)
+    assert broken("\ufffd", model) and broken("a \ufffd b", model) and broken("x\x81y", model)
+    assert not broken("café", model)
+
+
 def test_rare_but_right_characters_stay():
     counts, n = {"°": 3, "2°": 3, "° ": 3, "é": 50, "é ": 40, "fé": 30}, 100
     text = "at 2° the café"
