@@ -2,9 +2,11 @@
 
 Method: each task keeps a mergeable heavy-hitter summary (Misra-Gries, merged by
 subtracting the first counter beyond the capacity) of the line hashes of every
-source it sees; merged summaries name candidate lines; an exact second pass over
-the text counts the distinct pages of the candidates; confirmed lines are
-removed through a broadcast set while that set is small, by a shuffle join
+source it sees. Summaries are merged in a tree, FAN at a time, and cut back to the
+capacity at each level, so a source that is in all tasks costs no task more than
+FAN summaries. They name candidate lines; an exact second pass over the text
+counts the distinct pages of the candidates. Confirmed lines are removed in a pass
+over the pages through a broadcast set while that set is small, by a shuffle join
 beyond that.
 
 Defined results
@@ -36,6 +38,8 @@ CAPACITY = 8192
 #: A source's lines are summarised in this many slices, so that one hot source
 #: spreads over as many tasks.
 SLICES = 64
+#: Summaries of one slice that one task merges.
+FAN = 32
 #: Confirmed lines are broadcast up to this many rows (24 bytes each).
 BROADCAST_ROWS = 1_000_000
 
@@ -90,6 +94,34 @@ class Summary:
             s, v, n = s[keep], v[keep], n[keep]
         self.source, self.line, self.count = s, v, n
 
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """The counters, and the error of each slice that was cut as a row without a line."""
+        slices, step = self.slices, 50_000
+        for i in range(0, len(self.line), step):
+            v = self.line[i : i + step]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_long(self.source[i : i + step])),
+                    pa.array((v % slices).astype(np.int32)),
+                    pa.array(as_long(v)),
+                    pa.array(self.count[i : i + step]),
+                    pa.array(np.zeros(len(v), np.int64)),
+                ],
+                schema=SUMMARY,
+            )
+        bad = list(self.error.items())
+        if bad:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_long(np.array([k[0] for k, _ in bad], np.uint64))),
+                    pa.array([k[1] for k, _ in bad], pa.int32()),
+                    pa.array([None] * len(bad), pa.int64()),
+                    pa.array([0] * len(bad), pa.int64()),
+                    pa.array([e for _, e in bad], pa.int64()),
+                ],
+                schema=SUMMARY,
+            )
+
 
 SUMMARY = pa.schema(
     [("src", pa.int64()), ("slice", pa.int32()), ("line", pa.int64()), ("n", pa.int64()), ("err", pa.int64())]
@@ -132,31 +164,25 @@ def summarise(capacity: int = CAPACITY, slices: int = SLICES):
             mark = mix64(s ^ mix64(v ^ mix64(p.view(np.uint64))))
             _, once = np.unique(mark, return_index=True)
             total.add(s[once], v[once], np.ones(len(once), np.int64))
-        n, bad = len(total.line), list(total.error.items())
-        step = 50_000
-        for i in range(0, n, step):
-            v = total.line[i : i + step]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(as_long(total.source[i : i + step])),
-                    pa.array((v % np.uint64(slices)).astype(np.int32)),
-                    pa.array(as_long(v)),
-                    pa.array(total.count[i : i + step]),
-                    pa.array(np.zeros(len(v), np.int64)),
-                ],
-                schema=SUMMARY,
-            )
-        if bad:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(as_long(np.array([k[0] for k, _ in bad], np.uint64))),
-                    pa.array([k[1] for k, _ in bad], pa.int32()),
-                    pa.array([None] * len(bad), pa.int64()),
-                    pa.array([0] * len(bad), pa.int64()),
-                    pa.array([e for _, e in bad], pa.int64()),
-                ],
-                schema=SUMMARY,
-            )
+        yield from total.batches()
+
+    return run
+
+
+def merge(capacity: int = CAPACITY, slices: int = SLICES):
+    """Summaries (SUMMARY_DDL), all of a slice in one partition -> one of them, cut to the capacity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Summary(capacity, slices)
+        for batch in batches:
+            src, part, line, n, err = (c for c in batch.columns[:5])
+            lost = line.is_null().to_numpy(zero_copy_only=False)
+            src = src.to_numpy(zero_copy_only=False).view(np.uint64)
+            for i in np.flatnonzero(lost):
+                at = (int(src[i]), part[int(i)].as_py())
+                total.error[at] = total.error.get(at, 0) + err[int(i)].as_py()
+            total.add(src[~lost], line.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)[~lost], n.to_numpy(zero_copy_only=False)[~lost])
+        yield from total.batches()
 
     return run
 
@@ -199,13 +225,20 @@ def _usable(pages: DataFrame, source: str, page: str, text: str, row_id: str) ->
     )
 
 
-def candidate_lines(rows: DataFrame, min_pages: int, capacity: int = CAPACITY, slices: int = SLICES) -> DataFrame:
+def candidate_lines(rows: DataFrame, min_pages: int, capacity: int = CAPACITY, slices: int = SLICES, fan: int = FAN) -> DataFrame:
     """(src, line) whose merged counter, plus the error of its slice, reaches the bar.
 
     A null line stands for a slice whose error alone reaches the bar: there the
     summary excludes nothing and every line of the slice goes to the exact count.
     """
-    parts = rows.mapInArrow(summarise(capacity, slices), SUMMARY_DDL).repartition("src", "slice")
+    parts = staged(rows.mapInArrow(summarise(capacity, slices), SUMMARY_DDL).withColumn("task", F.spark_partition_id()))
+    while (parts.agg(F.max("task")).first()[0] or 0) >= fan:
+        group = F.floor(F.col("task") / fan)
+        together = parts.withColumn("group", group).repartition("src", "slice", "group").drop("group", "task")
+        # what lies in one partition is merged; the partition is the summary's number at the next level
+        dense = F.pmod(F.spark_partition_id(), (F.lit(parts.agg(F.max("task")).first()[0]) / fan).cast("int") + 1)
+        parts = staged(together.mapInArrow(merge(capacity, slices), SUMMARY_DDL).withColumn("task", dense))
+    parts = parts.drop("task").repartition("src", "slice")
     merged = parts.groupBy("src", "slice", "line").agg(F.sum("n").alias("n"), F.sum("err").alias("err"))
     # only rows with a null line have an error; the window reuses the partitioning
     slice_err = F.sum("err").over(Window.partitionBy("src", "slice"))
@@ -226,10 +259,19 @@ def repeated_lines(
     capacity: int = CAPACITY,
     slices: int = SLICES,
     broadcast_rows: int = BROADCAST_ROWS,
+    fan: int = FAN,
 ) -> DataFrame:
     """(row_id, pos) of every line that stands on ``min_pages`` pages of its source."""
-    rows = _usable(pages, source, page, text, row_id)
-    found = staged(candidate_lines(rows, min_pages, capacity, slices))
+    hits, confirmed, hint = _confirmed_lines(_usable(pages, source, page, text, row_id), min_pages, capacity, slices, broadcast_rows, fan)
+    return hits.join(hint(confirmed), KEY, "left_semi").select("row_id", "pos")
+
+
+KEY = ["src", "line", "line2"]
+
+
+def _confirmed_lines(rows: DataFrame, min_pages: int, capacity: int, slices: int, broadcast_rows: int, fan: int):
+    """(occurrences of candidate lines; the lines that are repeated enough; how to join these)."""
+    found = staged(candidate_lines(rows, min_pages, capacity, slices, fan))
     named = found.filter("line IS NOT NULL").select("src", "line").distinct()
     open_slices = found.filter("line IS NULL").select("src", "slice").distinct()
     hint = F.broadcast if small_enough(found, broadcast_rows) else (lambda x: x)
@@ -246,12 +288,11 @@ def repeated_lines(
             rest.join(hint(open_slices), ["src", "slice"], "left_semi").select(*LINES.names)
         )
     hits = staged(hits.select(*LINES.names))
-    key = ["src", "line", "line2"]
     confirmed = staged(
-        hits.groupBy(*key).agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= min_pages).select(*key)
+        hits.groupBy(*KEY).agg(F.countDistinct("page").alias("pages")).filter(F.col("pages") >= min_pages).select(*KEY)
     )
-    hint = F.broadcast if small_enough(confirmed, broadcast_rows) else (lambda x: x)
-    return hits.join(hint(confirmed), key, "left_semi").select("row_id", "pos")
+    small = small_enough(confirmed, broadcast_rows)
+    return hits, confirmed, F.broadcast if small else (lambda x: x)
 
 
 def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +311,81 @@ def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def without_repeated_lines(pages: DataFrame, row_id: str = "line_no", text: str = "text", **options) -> DataFrame:
-    """Every row with its text less the repeated lines: (row_id, text, removed_lines)."""
-    gone = (
-        repeated_lines(pages, row_id=row_id, text=text, **options)
-        .groupBy("row_id")
-        .agg(F.collect_list("pos").alias("gone"))
-    )
-    rows = pages.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    return (
-        rows.join(gone, "row_id", "left")
-        .select("row_id", "text", "gone")
-        .mapInArrow(drop_lines, "row_id long, text string, removed_lines long")
-    )
+class LineSet:
+    """Keys of confirmed lines as sorted arrays: 16 bytes a line."""
+
+    def __init__(self, keys: np.ndarray):
+        src, line, line2 = keys.view(np.uint64).reshape(-1, 3).T if len(keys) else np.empty((3, 0), np.uint64)
+        mark = mix64(src ^ mix64(line))
+        order = np.lexsort((line2, mark))
+        self.mark, self.line2 = mark[order], line2[order]
+
+    def holds(self, src: int, line: np.ndarray, line2: np.ndarray) -> np.ndarray:
+        mark = mix64(np.uint64(src) ^ mix64(line))
+        found = np.zeros(len(line), bool)
+        at = np.searchsorted(self.mark, mark)
+        # lines that share a mark follow each other
+        todo = np.flatnonzero(at < len(self.mark))
+        while len(todo):
+            todo = todo[self.mark[at[todo]] == mark[todo]]
+            found[todo] |= self.line2[at[todo]] == line2[todo]
+            at[todo] += 1
+            todo = todo[~found[todo] & (at[todo] < len(self.mark))]
+        return found
+
+
+def drop_confirmed(shared):
+    """(src, page, text, row_id) -> (row_id, text, removed_lines); ``shared``: a Spark broadcast of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = LineSet(shared.value)
+        low = (1 << 64) - 1
+        for batch in batches:
+            clean, removed = [], []
+            for source, page, text, _ in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n = 0
+                if source is not None and page is not None and text:
+                    keys = line_keys(text)
+                    some = [i for i, k in enumerate(keys) if k]
+                    line = np.array([xxhash.xxh3_64_intdigest(keys[i]) for i in some], np.uint64)
+                    line2 = np.array([xxhash.xxh64_intdigest(keys[i]) & low for i in some], np.uint64)
+                    gone = {some[i] for i in np.flatnonzero(lines.holds(source_hash(source), line, line2))}
+                    n = len(gone)
+                    if n:
+                        text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                clean.append(text)
+                removed.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(3), pa.array(clean, pa.string()), pa.array(removed, pa.int64())], names=["row_id", "text", "removed_lines"]
+            )
+
+    return run
+
+
+CLEAN_DDL = "row_id long, text string, removed_lines long"
+
+
+def without_repeated_lines(
+    pages: DataFrame,
+    source: str = "doc_id",
+    page: str = "page_index",
+    text: str = "text",
+    row_id: str = "line_no",
+    min_pages: int = 5,
+    capacity: int = CAPACITY,
+    slices: int = SLICES,
+    broadcast_rows: int = BROADCAST_ROWS,
+    fan: int = FAN,
+) -> DataFrame:
+    """Every row with its text less the repeated lines: (row_id, text, removed_lines).
+
+    While the confirmed lines are few they go to the pages; beyond that, the
+    positions to be removed are joined to the pages by row.
+    """
+    rows = _usable(pages, source, page, text, row_id)
+    hits, confirmed, _ = _confirmed_lines(rows, min_pages, capacity, slices, broadcast_rows, fan)
+    if small_enough(confirmed, broadcast_rows):
+        keys = np.array([tuple(r) for r in confirmed.select(*KEY).collect()], np.int64)  # at most broadcast_rows
+        return rows.mapInArrow(drop_confirmed(pages.sparkSession.sparkContext.broadcast(keys)), CLEAN_DDL)
+    gone = hits.join(confirmed, KEY, "left_semi").groupBy("row_id").agg(F.collect_list("pos").alias("gone"))
+    return rows.select("row_id", "text").join(gone, "row_id", "left").select("row_id", "text", "gone").mapInArrow(drop_lines, CLEAN_DDL)

@@ -43,10 +43,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"capacity": 4, "slices": 2}, {"broadcast_rows": 0}])
+@pytest.mark.parametrize("options", [{}, {"capacity": 4, "slices": 2}, {"broadcast_rows": 0}, {"fan": 2}, {"fan": 2, "capacity": 4, "slices": 2}])
 def test_against_brute_force(spark, options):
     rows = corpus()
-    frame = spark.createDataFrame(rows, "line_no long, doc_id string, page_index long, text string, src string")
+    frame = spark.createDataFrame(rows, "line_no long, doc_id string, page_index long, text string, src string").repartition(7)
     got = sorted((r.row_id, r.pos) for r in repeated_lines(frame, **options).collect())
     assert got == brute(rows)
 
@@ -56,6 +56,8 @@ def test_removal(spark):
     got = {r.row_id: r for r in without_repeated_lines(frame).collect()}
     assert got[0].text is not None and "rights" not in got[0].text.lower()
     assert got[361].text == "rare line"
+    joined = {r.row_id: r for r in without_repeated_lines(frame, broadcast_rows=0).collect()}
+    assert joined == got and sum(r.removed_lines for r in got.values()) > 700
     assert without_repeated_lines(frame.filter("false")).count() == 0
 
 
