@@ -3,9 +3,10 @@
 Method: every word gets the intersection of the resolved script sets of its
 letters (Han, kana and Hangul count for the writing systems that mix them). An
 empty intersection of alphabets is a mixed-script word: it is respelled in the
-script to which most of its letters belong, if the others have look-alikes
-there. A word wholly in one alphabet, all of whose letters have look-alikes in
-the text's main alphabet, is a whole-script confusable and is respelled too.
+main alphabet of its block if all its letters have look-alikes there, else in the
+script to which most of its letters belong. A word wholly in one alphabet, all of
+whose letters have look-alikes in the main alphabet, is a whole-script confusable
+and is respelled too (form ``whole_script``, which TESTDATA does not count as a case).
 Then compatibility forms of letters, digits, kana and ideographs, base letters
 with combining marks, invisible characters and unusual blanks are normalised.
 
@@ -27,18 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of the three alphabets that look alike, by their Latin letter.
+#: Letters that look alike, by their Latin letter: Cyrillic and Greek,
+#: then Armenian, Cherokee, Coptic and Hebrew.
 LOOK = """
-a аα  c сϲ  d ԁ  e е  h һ  i іι  j јϳ  k кκ  l ӏ  n ո  o оο  p рρ  q ԛ  s ѕ  u υ  v ѵν  w ԝ  x хχ  y уγ
-A АΑ  B ВΒ  C СϹ  E ЕΕ  G Ԍ  H НΗ  I ІΙ  J ЈͿ  K КΚ  M МΜ  N Ν  O ОΟ  P РΡ  S Ѕ  T ТΤ  V Ѵ  W Ԝ  X ХΧ  Y УΥ  Z Ζ
+a аα  c сϲⲥ  d ԁ  e е  g ց  h һհ  i іιᎥ  j јϳյ  k кκ  l ӏן  n ո  o оοօⲟס  p рρⲣ  q ԛզ  s ѕ  u υս  v ѵν  w ԝ  x хχⲭ  y уγ
+A АΑᎪⲀ  B ВΒᏴⲂ  C СϹᏟⲤ  D Ꭰ  E ЕΕᎬⲈ  G ԌᏀ  H НΗᎻⲎ  I ІΙⲒ  J ЈͿᎫ  K КΚᏦⲔ  L ԼᏞ  M МΜᎷⲘ  N ΝⲚ  O ОΟՕⲞ  P РΡᏢⲢ  R Ꭱ
+S ЅՏᏚ  T ТΤᎢⲦ  U Ս  V ѴᏙ  W ԜᎳ  X ХΧⲬ  Y УΥⲨ  Z ΖᏃ
 """
-ALPHABETS = ("LATIN", "GREEK", "CYRILLIC")
+#: The letters of the alphabets that words are checked in.
+LETTERS = {
+    "LATIN": "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ", "GREEK": "Ͱ-ͳͶ-ϡϰ-Ͽἀ-῿", "CYRILLIC": "Ѐ-ҁҊ-ԯ", "ARMENIAN": "Ա-Ֆա-և", "HEBREW": "א-ת",
+    "CHEROKEE": "Ꭰ-Ᏽᏸ-ᏽꭰ-ꮿ", "COPTIC": "Ⲁ-ⳤϢ-ϯ", "GEORGIAN": "ა-ჺჽ-ჿ",
+}
+ALPHABETS = tuple(LETTERS)
 #: Writing systems whose scripts belong together.
 SYSTEMS = {
     "CJK": {"Jpan", "Hanb", "Kore"}, "KANGXI": {"Jpan", "Hanb", "Kore"}, "HIRAGANA": {"Jpan"}, "KATAKANA": {"Jpan"},
     "KATAKANA-HIRAGANA": {"Jpan"}, "HALFWIDTH": {"Jpan"}, "HANGUL": {"Kore"}, "BOPOMOFO": {"Hanb"},
 }
-KEPT = {0x0E33, 0x0EB3, 0x00B5}
+KEPT = {0x0E33, 0x0EB3, 0x00B5, 0x0587}
 #: Decomposition tags of forms that stand for the ordinary character.
 TAGS = ("<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -129,15 +137,13 @@ INVISIBLE = re.compile(rf"(?<![\u094d\u09cd\u0a4d\u0acd\u0b4d\u0bcd\u0c4d\u0ccd\
 #: A base with marks that may have a precomposed form; Thai and most Indic marks have none.
 MARKED = re.compile("[^\x00-\x1f][\u0300-\u036f\u0483-\u0487\u0653-\u093c\u0655\u3099\u309aﾞﾟ]+")
 MARK = re.compile("[\u0300-\u036f\u0483-\u0487\u0653-\u093c\u0655\u3099\u309a]")
-_LETTER = {"L": "A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ", "G": "Ͱ-ͳͶ-Ͽἀ-῿", "C": "Ѐ-ҁҊ-ԯ"}
-_NEXT = "[\u0300-\u036f\u200b-\u200d\u2060\u00ad\ufeff]*"
-MIXED = re.compile(
-    "|".join(f"[{_LETTER[a]}]{_NEXT}[{_LETTER[b]}]" for a in "LGC" for b in "LGC" if a != b)
-)
-ALPHA_WORD = re.compile("(?:[" + "".join(_LETTER.values()) + "][\u0300-\u036f]*)+")
-ANY_ALPHABET = {a: re.compile(f"[{_LETTER[a[0]]}]") for a in ALPHABETS}
+ALPHA_WORD = re.compile("(?:[" + "".join(LETTERS.values()) + "][\u0300-\u036f]*)+")
+ANY_ALPHABET = {a: re.compile(f"[{x}]") for a, x in LETTERS.items()}
+COMMON = ALPHABETS[:3]
+RARE = re.compile("[" + "".join(LETTERS[a] for a in ALPHABETS[3:]) + "]")
 BLOCK_GAP = re.compile(r"(\n[^\S\n]*\n)")
-FLAGS = ("compatibility", "decomposed", "invisible", "blank", "mixed")
+FLAGS = ("compatibility", "decomposed", "invisible", "blank", "mixed", "whole_script")
+MIXED, WHOLE = 16, 32
 
 
 def respell(word: str, target: str) -> str | None:
@@ -155,39 +161,57 @@ def respell(word: str, target: str) -> str | None:
 
 
 @lru_cache(200_000)
-def one_script(word: str, main: str, certain: frozenset[str] = frozenset()) -> str:
-    """The consistent spelling of a word of alphabetic letters in a text mainly in ``main``."""
+def one_script(word: str, main: str, certain: frozenset[str] = frozenset()) -> tuple[str, int]:
+    """The consistent spelling of a word of alphabetic letters in a text mainly in ``main``, and what it was."""
     scripts = resolved(word)
     if scripts is None:
-        return word
+        return word, 0
     if scripts:
         if main in scripts or scripts & certain:
-            return word
-        return respell(word, main) or word  # a whole-script confusable
+            return word, 0
+        new = respell(word, main)
+        return (word, 0) if new is None else (new, WHOLE)
     count = Counter(next(iter(s)) for ch in unicodedata.normalize("NFD", word) if (s := script_set(ch)))
-    for target, _ in sorted(count.items(), key=lambda x: (-x[1], x[0] != main, x[0])):
+    for target, _ in sorted(count.items(), key=lambda x: (x[0] != main, -x[1], x[0])):
         if target in _ALIKE and (new := respell(word, target)) is not None:
-            return new
-    return word
+            return new, MIXED
+    return word, MIXED
+
+
+def alphabets_in(text: str) -> list[str]:
+    found = [a for a in COMMON if ANY_ALPHABET[a].search(text)]
+    if RARE.search(text):
+        found += [a for a in ALPHABETS[3:] if ANY_ALPHABET[a].search(text)]
+    return found
 
 
-def respell_block(block: str) -> str:
-    """A block with every word of alphabetic letters in one script.
+def respell_block(block: str) -> tuple[str, int]:
+    """A block with every word of alphabetic letters in one script, and what its words were.
 
     The block's main alphabet is the one most of its letters have. A word of
     another alphabet is taken for a disguised word of the main one only if the
     block has no word that must be of that other alphabet.
     """
-    count = {a: len(p.findall(block)) for a, p in ANY_ALPHABET.items()}
-    if sum(n > 0 for n in count.values()) < 2:
-        return block
-    main = max(ALPHABETS, key=lambda a: (count[a], a == "LATIN"))
+    present = alphabets_in(block)
+    if len(present) < 2:
+        return block, 0
+    count = {a: len(ANY_ALPHABET[a].findall(block)) for a in present}
+    main = max(present, key=lambda a: (count[a], a == "LATIN"))
+    words = set(ALPHA_WORD.findall(block))
     certain = set()
-    for word in ALPHA_WORD.findall(block):
+    for word in words:
         scripts = resolved(word)
         if scripts and main not in scripts and respell(word, main) is None:
             certain |= scripts
-    return ALPHA_WORD.sub(lambda m: one_script(m.group(), main, frozenset(certain)), block)
+    changed, flags = {}, 0
+    for word in words:
+        new, was = one_script(word, main, frozenset(certain))
+        flags |= was
+        if new != word:
+            changed[word] = new
+    if changed:
+        block = ALPHA_WORD.sub(lambda m: changed.get(m.group(), m.group()), block)
+    return block, flags
 
 
 def _composes(text: str) -> bool:
@@ -220,10 +244,14 @@ def normalise(text: str) -> tuple[str, int]:
     if MARK.search(text) and _composes(text):
         flags |= 2
         text = MARKED.sub(lambda m: unicodedata.normalize("NFC", m.group()), text)
-    if MIXED.search(text):
-        flags |= 16
-    if flags & 16 or sum(p.search(text) is not None for p in ANY_ALPHABET.values()) > 1:
-        text = "".join(respell_block(x) if i % 2 == 0 else x for i, x in enumerate(BLOCK_GAP.split(text)))
+    if len(alphabets_in(text)) > 1:
+        out = []
+        for i, part in enumerate(BLOCK_GAP.split(text)):
+            if i % 2 == 0:
+                part, was = respell_block(part)
+                flags |= was
+            out.append(part)
+        text = "".join(out)
     return text, flags
 
 

@@ -22,8 +22,15 @@ def flags(text):
         ("е́té gruе", "été grue", {"mixed"}),
         ("руб. зa метр", "руб. за метр", {"mixed"}),
         # whole words in another script: respelled by context, never a case
-        ("the асе of spades", "the ace of spades", set()),
-        ("Между a Оржу", "Между а Оржу", set()),
+        ("the асе of spades", "the ace of spades", {"whole_script"}),
+        ("Между a Оржу", "Между а Оржу", {"whole_script"}),
+        # a mixed word takes the block's main alphabet, whatever most of its own letters are
+        ("Please log in to раураl now, as the bank asks.", "Please log in to paypal now, as the bank asks.", {"mixed"}),
+        ("Завод Мicrosoft стоит у воды", "Завод Microsoft стоит у воды", {"mixed"}),
+        # other alphabets
+        ("the alոe tree and ցate", "the alne tree and gate", {"mixed"}),
+        ("Ꭺll ⲟf it", "All of it", {"mixed"}),
+        ("Երևան և Moscow", "Երևան և Moscow", set()),
         ("the word сажень stays, and в too", "the word сажень stays, and в too", set()),
         # not cases
         ("“quoted”，（full-width）…！", "“quoted”，（full-width）…！", set()),
