@@ -10,9 +10,9 @@ posterior. Events are possible after end marks and, in Thai, at spaces; text in
 quotation marks has none.
 
 Left contexts are the word with its marks, for numbers and very short words also
-with the word before, backed off to a shape. The VOCABULARY commonest left
-contexts have entries of their own, so the model's size is bounded; all
-statistics are counted over all texts.
+with the word before, backed off to a shape. Left contexts that make up a share of
+their group's events have entries of their own, as do next words, so the model's
+size is bounded at any number of texts; all statistics are counted over all texts.
 
 Defined results
   * a blank line ends a sentence, a single line break never does by itself;
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from quirefold.llm.common import script
 from quirefold.session import staged
 
-#: Left contexts with an entry of their own, and the least count for one.
-VOCABULARY, LEAST = 20_000, 15
+#: Share of its group's events, and the least count, that give a left context an entry.
+SHARE, LEAST = 2e-5, 15
 #: Weight of the shape's share in a left context's own share, of the common
 #: next-word distribution in its own, and rounds of expectation maximisation.
 #: Words of four letters or more lean on their shape more, lest one text that is
@@ -160,24 +160,26 @@ def _left_key(word: str, run: str) -> tuple[str | None, str, str, str | None]:
     return group, key + run, shape, key + run if key[0] == "#" or len(key) == 1 else None
 
 
-#: Frequent short words by which a text in Latin script is told from the others.
+#: Frequent short words by which texts in Latin script are told apart.
 LATIN = {
-    "en": (" the ", " of ", " and ", " was "),
-    "de": (" die ", " der ", " und ", " wurde "),
-    "fr": (" le ", " les ", " et ", " du ", " par "),
-    "es": (" el ", " los ", " y ", " una ", " del ", " fue "),
-}
+    "en": "the of and was", "de": "die der und wurde", "fr": "le les et du par", "es": "el los y una del fue",
+    "it": "il gli della nel che", "pt": "os uma não são pelo", "ca": "els amb dels aquest", "ro": "și este care pentru",
+    "nl": "het een van niet voor", "da": "og ikke blev af", "sv": "och att inte av", "fi": "ja ei että oli",
+    "pl": "się nie jest oraz", "cs": "že jsou byl při", "hu": "az egy és hogy", "tr": "bir ve için ile",
+    "id": "yang dan dengan untuk", "vi": "và của là không",
+}
+_LATIN_OF = {word: name for name, words in reversed(LATIN.items()) for word in words.split()}
 KANA = re.compile(r"[ぁ-ヿ]")
 THAI = re.compile(r"[ก-\u0e3a]")
 
 
 def latin_group(text: str) -> str:
-    best, most = "L", 0
-    for name, words in LATIN.items():
-        n = sum(map(text.count, words))
-        if n > most:
-            best, most = "L" + name, n
-    return best
+    """The group of a text in Latin script: L with the language most of its short words are of."""
+    n = Counter(map(_LATIN_OF.get, text.split()))
+    n.pop(None, None)
+    if not n:
+        return "L"
+    return "L" + max(LATIN, key=lambda name: n[name])
 
 
 def quoted(text: str, begin: int, end: int, first: bool, last: bool) -> list[tuple[int, int]]:
@@ -552,13 +554,13 @@ def fit(rows: list[tuple[str, str, str, float]], shape_of: dict[tuple[str, str],
     return Model(theta, starts, others, common, frozenset(rights), frozenset(starters))
 
 
-#: Next words with an entry of their own, and the least count for one.
-RIGHTS, RIGHT_LEAST = 5_000, 20
+#: Share of all events, and the least count, that give a next word an entry.
+RIGHT_SHARE, RIGHT_LEAST = 5e-6, 20
 
 
-def train(rows: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, rights: int = RIGHTS) -> Model:
-    """Count on all texts; the driver gets the entries of at most ``vocabulary`` left
-    contexts over at most ``rights`` next words and the shapes of the rest."""
+def train(rows: DataFrame, share: float = SHARE, least: int = LEAST, right_share: float = RIGHT_SHARE) -> Model:
+    """Count on all texts; the driver gets the entries of at most 1 / ``share`` left
+    contexts a group, at most 1 / ``right_share`` next words, and the shapes of the rest."""
     counts = staged(
         rows.select("kind", "row_key", "text")
         .mapInArrow(count_events, COUNT_DDL)
@@ -568,17 +570,17 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, rig
     plain = counts.filter(~F.col("grp").isin(MIDDLE, BLOCK_START))
     middle = counts.filter(F.col("grp") == MIDDLE).groupBy("right").agg(F.sum("n").alias("middle"))
     begins = counts.filter(F.col("grp") == BLOCK_START).groupBy(F.col("left").alias("grp"), "right").agg(F.sum("n").alias("begins"))
+    single = plain.filter(~F.col("left").contains("|"))
+    totals = staged(single.groupBy("grp").agg(F.sum("n").alias("total")))  # one row a group
+    every = totals.agg(F.sum("total")).first()[0] or 0
     words = (
-        plain.filter(~F.col("left").contains("|"))
-        .groupBy("grp", "right")
+        single.groupBy("grp", "right")
         .agg(F.sum("n").alias("n"))
         .join(begins, ["grp", "right"], "left")
         .groupBy("right")
         .agg(F.sum("n").alias("n"), F.sum("begins").alias("begins"), F.max(F.col("grp") == "T").alias("thai"))
-        .filter(F.col("n") >= RIGHT_LEAST)
+        .filter(F.col("n") >= max(RIGHT_LEAST, right_share * every))
         .join(middle, "right", "left")
-        .orderBy(F.desc("n"), "right")
-        .limit(rights)
     )
     words = staged(words)
     known, starters, barred = set(), set(), set()
@@ -597,9 +599,9 @@ def train(rows: DataFrame, vocabulary: int = VOCABULARY, least: int = LEAST, rig
     kept = staged(
         plain.groupBy("grp", "left")
         .agg(F.sum("n").alias("all"), F.max_by("shape", "n").alias("shape"))
-        .filter(F.col("all") >= least)
-        .orderBy(F.desc("all"), "grp", "left")
-        .limit(vocabulary)
+        .join(F.broadcast(totals), "grp")
+        .filter(F.col("all") >= F.greatest(F.lit(float(least)), share * F.col("total")))
+        .drop("total")
     )
     listed = rows.sparkSession.createDataFrame([(w,) for w in sorted(known)] or [("",)], "right string").withColumn("own", F.lit(True))
     first = F.substring("right", 1, 1)

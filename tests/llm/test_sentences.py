@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 
-from quirefold.llm.sentences import Model, count_events, events, quoted, sentences, train
+from quirefold.llm.sentences import Model, count_events, events, latin_group, quoted, sentences, train
 
 ENGLISH = [
     "Dr. {n} measured the pump at {n}.", "The gate at {n} was closed in {y}.", "See No. {d} for the crane of {n}.",
@@ -114,8 +115,21 @@ def test_forward_backward_sums_to_enumeration():
 
 
 def test_model_is_bounded(spark):
+    """By shares: no more contexts a group than the inverse of the share, at any number of texts."""
     rows, _ = corpus(5, 120)
-    model = train(spark.createDataFrame(rows, "kind string, row_key long, text string, x int"), vocabulary=10, least=1, rights=5)
-    assert len({k for k in model.theta if k[1][-1] not in "*~"}) <= 10
-    assert len(model.rights) <= 5 + len(model.starters)
+    model = train(spark.createDataFrame(rows, "kind string, row_key long, text string, x int"), share=0.1, least=1, right_share=0.05)
+    per_group = Counter(k[0] for k in model.theta if k[1][-1] not in "*~" and "|" not in k[1])
+    assert per_group and max(per_group.values()) <= 10
+    assert len(model.rights) <= 20 + len(model.starters)
     assert events("") == []
+
+
+@pytest.mark.parametrize(
+    ("text", "group"),
+    [
+        ("Il ponte è chiuso e gli operai della valle che", "Lit"), ("Het schip van de haven is niet een boot", "Lnl"), ("The mill of the town was sold", "Len"),
+        ("Die Mühle und der Kran wurde verkauft", "Lde"), ("El molino y los barcos del puerto", "Les"), ("le pont et les bateaux du port", "Lfr"), ("12 kW", "L"),
+    ],
+)
+def test_groups_of_latin_script(text, group):
+    assert latin_group(text) == group
