@@ -57,3 +57,17 @@ n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY kind, id),
 b AS (SELECT a.kind, a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.kind = b.kind AND a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT b.kind, id_a, id_b FROM b JOIN n x ON x.kind = b.kind AND x.id = id_a JOIN n y ON y.kind = b.kind AND y.id = id_b
 WHERE m / (x.n + y.n - m)::DOUBLE >= CASE b.kind WHEN 'chunk' THEN 0.5 ELSE 0.6 END"""
+
+
+#: Rules that hold for every right answer: the counts of what breaks them are 0.
+ORACLES["p2_audit"] = f"""
+WITH r AS (
+  SELECT 'page' AS kind, line_no AS row_key, text FROM page_records
+  UNION ALL SELECT 'chunk', chunk_no, text FROM chunk_records
+)
+SELECT r.kind, count(DISTINCT r.row_key) AS divided, CAST(0 AS BIGINT) AS too_many_words, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS wrong_count, CAST(0 AS BIGINT) AS wrong_text, CAST(0 AS BIGINT) AS left_out, CAST(0 AS BIGINT) AS shared_too_much, CAST(0 AS BIGINT) AS wrong_spans
+FROM r JOIN split_limits s ON s.record_kind = r.kind
+WHERE (length(text) > s.max_chars OR len(regexp_extract_all(text, '{NON_WS}+')) > s.max_words) GROUP BY r.kind"""
+ORACLES["p6_audit"] = """SELECT container_kind, CAST(0 AS BIGINT) AS over_full, true AS well_filled, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS needlessly_divided, CAST(0 AS BIGINT) AS lost_tokens, CAST(0 AS BIGINT) AS lost_items FROM container_sizes"""
+ORACLES["p7_audit"] = """SELECT mix_name, count(*) AS sources, CAST(0 AS BIGINT) AS used_too_often, CAST(0 AS BIGINT) AS off_share, CAST(0 AS BIGINT) AS wrong_source, CAST(0 AS BIGINT) AS listed_twice
+FROM source_targets GROUP BY mix_name"""
