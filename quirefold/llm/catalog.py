@@ -19,6 +19,7 @@ from quirefold.llm import sentences as sentences5
 from quirefold.llm import split as split2
 from quirefold.llm import sql
 from quirefold.llm import tokens
+from quirefold.llm import unmarked as unmarked5
 from quirefold.session import staged
 
 
@@ -124,6 +125,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences5.sentences(_texts(spark, folder)).select("kind", "row_key", "char_end")
 
 
+def p5_between_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentences where blocks without end marks are cut between words."""
+    return unmarked5.sentences_between_words(_texts(spark, folder)).select("kind", "row_key", "char_end")
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("item_id"), "text")
     return staged(tokens.with_sizes(rows))
@@ -225,7 +231,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_audit": p2_audit, "p3_found": p3_found, "p3_one_form": p3_one_form, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_audit": p6_audit, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_audit": p7_audit, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_audit": p2_audit, "p3_found": p3_found, "p3_one_form": p3_one_form, "p4_found": p4_found, "p4_clean_pages": p4_clean_pages, "p5_found": p5_found, "p5_between_words": p5_between_words, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_audit": p6_audit, "p7_selection": p7_selection, "p7_shares": p7_shares, "p7_audit": p7_audit, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,8 @@ event. It is trained on all texts without labels: block ends inside a text are
 certain boundaries, and expectation maximisation shares out the rest. Forward
 and backward sums over runs of neighbouring events give each boundary's
 posterior. Events are possible after end marks and, in Thai, at spaces; text in
-quotation marks has none.
+quotation marks has none. Blocks without any mark are one sentence here, as TESTDATA
+wants; ``unmarked.sentences_between_words`` puts events between all of their words.
 
 Left contexts are the word with its marks, for numbers and very short words also
 with the word before, backed off to a shape. Left contexts that make up a share of
@@ -362,6 +363,10 @@ class Model:
         self.rights, self.starters = rights, starters
         self.memo: dict = {}
 
+    def parts(self) -> tuple:
+        """What a worker makes the same model of."""
+        return self.theta, self.starts, self.others, self.common, self.rights, self.starters
+
     def odds(self, group: str, left: str, shape: str, two: str | None, right: str) -> tuple[float, float]:
         """(share of boundaries, likelihood ratio of the next word)."""
         asked = (group, left, shape, two, right)
@@ -650,7 +655,7 @@ FOUND_DDL = "kind string, row_key long, sentence_index long, char_start long, ch
 
 
 def cut(model: Model):
-    parts = (model.theta, model.starts, model.others, model.common, model.rights, model.starters)
+    parts = model.parts()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*parts)
