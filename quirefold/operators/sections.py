@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Page numbers that share a block, by which ranges meet the pages in them.
-BLOCK = 256
+#: Page numbers that share a block: for ranges that meet pages, and for runs of pages.
+BLOCK, RUN_BLOCK = 256, 4096
 
 
 def transitions(toc) -> F.Column:
@@ -72,10 +72,28 @@ def section_paths(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def path_groups(pages: DataFrame) -> DataFrame:
-    """Number the runs of neighbouring pages with an equal path (column ``section_no``)."""
-    from pyspark.sql import Window
+    """Number the runs of neighbouring pages with an equal path (column ``section_no``).
 
-    order = Window.partitionBy("doc_key").orderBy("page_index", "seq")
-    path = F.coalesce("section_path", F.array().cast("array<string>"))
-    before = F.lag(path).over(order)
-    return pages.withColumn("section_no", F.sum(F.when(before.eqNullSafe(path), 0).otherwise(1)).over(order) - 1)
+    Pages are numbered inside blocks of page numbers; a document's blocks, one row
+    each, pass on the last path and the count so far. No task sees a whole large
+    document.
+    """
+    own = pages.withColumn("_path", F.coalesce("section_path", F.array().cast("array<string>"))).withColumn("_block", F.floor(F.col("page_index") / RUN_BLOCK))
+    order = Window.partitionBy("doc_key", "_block").orderBy("page_index", "seq")
+    inside = (
+        own.withColumn("_first", F.row_number().over(order) == 1)
+        .withColumn("_new", F.when(F.lag("_path").over(order).eqNullSafe(F.col("_path")) | F.col("_first"), 0).otherwise(1))
+        .withColumn("_so_far", F.sum("_new").over(order))
+    )
+    at = F.struct("page_index", "seq")
+    blocks = inside.groupBy("doc_key", "_block").agg(F.min_by("_path", at).alias("_head"), F.max_by("_path", at).alias("_tail"), F.sum("_new").alias("_runs"))
+    by_block = Window.partitionBy("doc_key").orderBy("_block")
+    begins = blocks.withColumn("_own", F.when(F.lag("_tail").over(by_block).eqNullSafe(F.col("_head")), 0).otherwise(1))
+    # runs that begin in earlier blocks, and whether one begins with this block
+    before = F.sum(F.col("_own") + F.col("_runs")).over(by_block) - F.col("_runs")
+    numbered = begins.select("doc_key", "_block", before.alias("_before"))
+    return (
+        inside.join(numbered, ["doc_key", "_block"])
+        .withColumn("section_no", F.col("_before") + F.col("_so_far") - 1)
+        .drop("_path", "_block", "_first", "_new", "_so_far", "_before")
+    )

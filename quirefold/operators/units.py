@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quirefold.constants import PAGE_JOINER
 from quirefold.operators.numbering import running_before
 
+#: Characters of a unit's text that share a block, by which ranges meet pages.
+BLOCK = 1 << 16
+
 
 def unit_segments(pages: DataFrame, cross_page: bool = False) -> DataFrame:
     """(doc_key, unit, page_index, page_label, g_start, g_end): where each page lies in its unit's text.
@@ -54,11 +57,16 @@ def token_windows(counts: DataFrame, max_tokens: int, overlap: int) -> DataFrame
 def spans_of_ranges(ranges: DataFrame, segments: DataFrame) -> DataFrame:
     """Ranges (doc_key, unit, range_no, s, e) -> the parts of pages they cover, one row each.
 
-    An equi-join on the unit with an interval overlap as its residue.
+    Both sides are put into blocks of BLOCK characters and joined by (unit, block),
+    so in a large unit a range meets the pages near it only. A pair that shares
+    several blocks counts in the first.
     """
+    block = lambda x: F.floor(x / BLOCK).cast("long")
+    spread = lambda rows, a, b: rows.withColumn("block", F.explode(F.sequence(block(F.col(a)), block(F.greatest(F.col(b) - 1, F.col(a))))))
     parts = (
-        ranges.join(segments, ["doc_key", "unit"])
+        spread(ranges, "s", "e").join(spread(segments, "g_start", "g_end"), ["doc_key", "unit", "block"])
         .filter((F.col("g_start") < F.col("e")) & (F.col("s") < F.col("g_end")))
+        .filter(F.col("block") == F.greatest(block(F.col("s")), block(F.col("g_start"))))
         .withColumn("char_start", F.greatest("s", "g_start") - F.col("g_start"))
         .withColumn("char_end", F.least("e", "g_end") - F.col("g_start"))
     )

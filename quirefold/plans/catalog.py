@@ -374,6 +374,17 @@ def lax_values(spark, folder):
     return read.pages.select("doc_id", "page_index", "needs_ocr", F.col("seq").alias("stream_line"))
 
 
+def repeated_pages(spark, folder):
+    """Pages with all their deliveries, cut in page order and in it as they arrived."""
+    documents, _, _ = _frames(spark, folder)
+    rows = _table(spark, folder, "page_records").filter("doc_id IS NOT NULL AND page_index IS NOT NULL")
+    pages = rows.join(documents.select("doc_id"), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("doc_key"), "doc_id", F.col("line_no").alias("seq"), "page_index", "page_label", "text", "needs_ocr"
+    )
+    made = job.run(documents, pages, _config("page")).chunks
+    return made.select("chunk_id", "doc_id", "chunk_index", F.col("spans")[0]["page_index"].alias("page_index"), "token_count")
+
+
 def late_pages(spark, folder):
     """Documents that became whole, and pages that came after, of four files in line order."""
     from quirefold.streaming.assembly import CLOSING, closing, records
@@ -438,6 +449,7 @@ QUERIES = {
     "q39_skip_order": skip_order,
     "q40_late_pages": late_pages,
     "q41_lax_values": lax_values,
+    "q42_repeated_pages": repeated_pages,
 }
 
 

@@ -414,3 +414,8 @@ SELECT w.doc_id, 'closed' AS event, CAST(NULL AS BIGINT) AS page_index, s.pages
 UNION ALL
 SELECT p.doc_id, 'late', p.page_index, (SELECT count(*) FROM p q WHERE q.doc_id = p.doc_id AND q.k < p.k) FROM p JOIN whole w ON w.doc_id = p.doc_id AND p.k > w.k"""
 ORACLES["q41_lax_values"] = f"""WITH {_STREAM} SELECT s.doc_id, s.page_index, p.needs_ocr, s.stream_line FROM seen s JOIN page_records p USING (line_no) WHERE s.kind = 'page' AND s.owner = s.doc_id"""
+ORACLES["q42_repeated_pages"] = f"""WITH {BASE},
+u AS (SELECT *, len(regexp_extract_all(text, '{NON_WS}+')) AS token_count FROM page_records
+      WHERE doc_id IN (SELECT doc_id FROM docs) AND page_index IS NOT NULL AND NOT coalesce(needs_ocr, false) AND regexp_matches(text, '{NON_WS}'))
+SELECT printf('%s::c%04d', doc_id, chunk_index) AS chunk_id, doc_id, chunk_index, page_index, token_count
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, line_no) - 1 AS chunk_index FROM u)"""

@@ -1,3 +1,6 @@
+import random
+
+from quirefold.operators.sections import path_groups
 from quirefold.operators.units import collected_spans, span_texts, spans_of_ranges, token_windows, unit_segments, unit_texts
 from tests.test_pipeline import doc, frames, page
 
@@ -14,6 +17,40 @@ def test_segments_texts_and_spans(spark):
     assert unit_segments(pages).count() == 3
 
 
+def test_ranges_over_several_blocks(spark):
+    """As with a plain loop, for pages and ranges that cross blocks of text."""
+    rng = random.Random(4)
+    segments, at = [], 0
+    for i in range(40):
+        size = rng.choice([0, 5, 3000, 90_000, 200_000])
+        segments.append(("d", 0, i, None, at, at + size))
+        at += size + 2
+    ranges = [("d", 0, k, a, a + rng.choice([0, 1, 50, 100_000, 400_000])) for k, a in enumerate(rng.sample(range(at), 60))]
+    got = spans_of_ranges(
+        spark.createDataFrame(ranges, "doc_key string, unit long, range_no long, s long, e long"),
+        spark.createDataFrame(segments, "doc_key string, unit long, page_index long, page_label string, g_start long, g_end long"),
+    ).collect()
+    want = sorted((k, i, max(s, a) - a, min(e, b) - a) for _, _, k, s, e in ranges for _, _, i, _, a, b in segments if a < e and s < b)
+    assert sorted((r.range_no, r.page_index, r.char_start, r.char_end) for r in got) == want
+
+
+def test_runs_of_paths_over_several_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for d in "ab":
+        for i in sorted(rng.sample(range(20_000), 300)):
+            path = rng.choice([None, [], ["A"], ["A", "B"]]) if rng.random() < 0.3 or not rows else rows[-1][3]
+            rows.append((d, len(rows), i, path))
+    got = {r.seq: r.section_no for r in path_groups(spark.createDataFrame(rows, "doc_key string, seq long, page_index long, section_path array<string>")).collect()}
+    for d in "ab":
+        no, before = -1, None
+        for _, seq, _, path in (r for r in rows if r[0] == d):
+            if before is None or before != (path or []):
+                no += 1
+            before = path or []
+            assert got[seq] == no
+
+
 def test_windows(spark):
     counts = spark.createDataFrame([(n,) for n in (0, 1, 4, 5, 10, 11)], "n_tokens long")
     got = {}
