@@ -18,6 +18,7 @@ from quirefold.config import ChunkingConfig
 from quirefold.constants import SCHEMA_VERSION
 from quirefold.functions import tokens as tok
 from quirefold.functions.sentences import Splitter, splitter_of
+from quirefold.functions.text import word_count
 from quirefold.operators.kernels import Page, Tools, segment
 from quirefold.operators.numbering import chunk_id, running_before
 from quirefold.schemas import SPAN_DDL
@@ -78,6 +79,15 @@ def has_repeats(pages: DataFrame) -> bool:
     return not pages.groupBy("doc_key", "page_index").count().filter("count > 1").isEmpty()
 
 
+def whole_pages(usable: DataFrame) -> DataFrame:
+    """Usable pages, each as one piece counted by words: nothing is cut, so nothing leaves the JVM."""
+    span = F.struct("page_index", "page_label", F.lit(0).cast("bigint").alias("char_start"), F.length("text").cast("bigint").alias("char_end"))
+    return usable.select(
+        "doc_key", F.col("page_index").alias("position"), F.lit(0).cast("bigint").alias("ord"), "text", word_count(F.col("text")).alias("token_count"),
+        F.array(span).cast(f"array<{SPAN_DDL}>").alias("spans"), F.lit(None).cast("array<string>").alias("section_path"),
+    )
+
+
 def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer=tok.WORD_COUNTER, splitter: str | Splitter = "abbreviations") -> DataFrame:
     """Pieces (PIECE_DDL) of pages with a ``reason`` column, as a stored table.
 
@@ -93,6 +103,8 @@ def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer=to
             rows = rows.repartition("doc_key", "page_index").sortWithinPartitions("doc_key", "page_index", "seq")
         else:
             rows = rows.filter("usable")
+            if cfg.strategy == "page" and isinstance(tokenizer, str) and tokenizer == tok.WORD_COUNTER:
+                return staged(whole_pages(rows))
     else:
         rows = (
             rows.join(paths, ["doc_key", "page_index"], "left")

@@ -218,6 +218,15 @@ def test_repeated_page_numbers_merge_with_the_last_text(spark):
     assert row.text == "e f"
 
 
+def test_whole_pages_need_no_python(spark):
+    """The same rows as through the kernels, which a counter object of the same results goes to."""
+    texts = ["a b\x1cc", "été 😀", "  x ", "\u3000", "one\n\ntwo"]
+    d, p = frames(spark, [doc(pages=5)], [page(index=i, text=t, label=str(i)) for i, t in enumerate(texts)])
+    words = load("word-counter")
+    rows = [sorted(map(str, run(d, p, config(min_chunk_tokens=3), tokenizer=t).chunks.collect())) for t in (None, words)]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+
+
 def test_wide_ids_and_one_hot_document(spark):
     d, p = frames(spark, [doc(pages=10_001), doc("d2", 1)], [page(index=i, text="w") for i in range(10_001)] + [page("d2")])
     made = run(d, p, config())
