@@ -34,6 +34,11 @@ PAGES = T.StructType(
     ]
 )
 SPAN_DDL = "struct<page_index: bigint, page_label: string, char_start: bigint, char_end: bigint>"
+CHUNK_DDL = (
+    "doc_key string, record_type string, schema_version string, chunk_id string, doc_id string, chunk_index bigint, text string, strategy string, "
+    f"token_count bigint, tokenizer_model string, spans array<{SPAN_DDL}>, section_path array<string>, source_doc struct<title: string, source_path: string>"
+)
+SKIPPED_DDL = "doc_key string, seq bigint, doc_id string, page_index bigint, reason string"
 CHUNK_COLUMNS = (
     "record_type", "schema_version", "chunk_id", "doc_id", "chunk_index", "text", "strategy", "token_count",
     "tokenizer_model", "spans", "section_path", "source_doc",

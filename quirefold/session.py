@@ -116,9 +116,14 @@ def publish_file(spark: SparkSession, source: str, name: str) -> str:
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    where, files = _located(spark, path)
+    files.delete(where, True)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        where, files = _located(spark, path)
-        files.delete(where, True)
+        delete_path(spark, path)
     except Exception:  # the session is gone; the folder's owner clears it
         pass

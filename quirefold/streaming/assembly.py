@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +21,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quirefold.config import ChunkingConfig
-from quirefold.plans.job import Run, run
-from quirefold.schemas import DOCUMENTS, PAGES
+from quirefold.operators.policy import with_reason
+from quirefold.plans.job import Run, run, run_stats
+from quirefold.schemas import CHUNK_DDL, DOCUMENTS, PAGES, SKIPPED_DDL
+from quirefold.session import delete_path
 from quirefold.sources.jsonl import manifest_line
 from quirefold.sources.records import read_line
 
@@ -102,14 +105,12 @@ def append_batch(out: str):
     return run_batch
 
 
-def finish(spark: SparkSession, out: str, cfg: ChunkingConfig, created_at: str | None = None, **options) -> Run:
-    """Chunks, skipped pages and manifest of all records so far, beside them in ``out``.
+#: Parts of the output by a hash of doc_id; a call of ``finish`` cuts those with new records again.
+BUCKETS = 64
 
-    A document's and a page's repeated records count once; as with tables, the first
-    stays: of the earliest batch, in it of the file that is first by name, in it of
-    the first line. Pages without a document are orphans.
-    """
-    rows = spark.read.schema(T.StructType([*RECORDS.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/records")
+
+def _documents_and_pages(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, their pages, orphans) of records; of repeated records the first to arrive stays."""
     arrival = F.struct("batch", "file", "block", "idx")
     documents = (
         rows.filter("kind = 'document'")
@@ -126,15 +127,54 @@ def finish(spark: SparkSession, out: str, cfg: ChunkingConfig, created_at: str |
         )
     )
     known = documents.select("doc_key")
-    orphans = pages.join(known, "doc_key", "left_anti")
+    return documents, pages.join(known, "doc_key", "left_semi"), pages.join(known, "doc_key", "left_anti")
+
+
+def _progress(spark: SparkSession, out: str, settings: str) -> int:
+    """The last batch that earlier calls with the same settings have cut; -1 at first."""
+    try:
+        done = spark.read.schema("batch long, settings string").json(f"{out}/progress").collect()  # one row
+    except AnalysisException:
+        return -1
+    return next((r.batch for r in done if r.settings == settings), -1)
+
+
+def finish(spark: SparkSession, out: str, cfg: ChunkingConfig, created_at: str | None = None, buckets: int = BUCKETS, **options) -> Run:
+    """Chunks, skipped pages and manifest of all records so far, beside them in ``out``.
+
+    A document's and a page's repeated records count once; as with tables, the first
+    stays: of the earliest batch, in it of the file that is first by name, in it of
+    the first line. Pages without a document are orphans. Only documents in buckets
+    that got records since the last call with these settings are cut again; the
+    counters and the manifest are those of everything.
+    """
+    schema = T.StructType([*RECORDS.fields, T.StructField("batch", T.LongType())])
+    bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    rows = spark.read.schema(schema).parquet(f"{out}/records")
+    settings = f"{cfg.as_dict()} {buckets} {sorted(options.items(), key=str)}"
+    done = _progress(spark, out, settings)
+    last = rows.agg(F.max("batch")).first()[0]
+    new = [r[0] for r in rows.filter((F.col("batch") > done) & F.col("doc_id").isNotNull()).select(bucket("doc_id")).distinct().collect()]
+    some = rows if done < 0 else rows.filter(bucket("doc_id").isin(new))
+    if done < 0 or new:
+        documents, pages, orphans = _documents_and_pages(some)
+        made = run(documents, pages, cfg, orphans, **options)
+        for name, frame in (("chunks", made.chunks), ("skipped", made.skipped)):
+            # the first call replaces what calls with other settings left; a call that failed is repeated, with its buckets
+            for b in new if done >= 0 else ():
+                delete_path(spark, f"{out}/{name}/bucket={b}")
+            frame.withColumn("bucket", bucket("doc_id")).write.mode("append" if done >= 0 else "overwrite").partitionBy("bucket").parquet(f"{out}/{name}")
+        spark.createDataFrame([(last, settings)], "batch long, settings string").coalesce(1).write.mode("overwrite").json(f"{out}/progress")
+    documents, pages, orphans = _documents_and_pages(rows)
+    judged = with_reason(pages, cfg)
+    chunks = spark.read.schema(CHUNK_DDL).parquet(f"{out}/chunks")
+    skipped = spark.read.schema(SKIPPED_DDL).parquet(f"{out}/skipped")
     invalid = rows.filter("kind = 'invalid'").select("kind").unionByName(orphans.select(F.lit("orphan").alias("kind")))
-    made = run(documents, pages.join(known, "doc_key", "left_semi"), cfg, orphans, invalid, **options)
-    made.chunks.write.mode("overwrite").parquet(f"{out}/chunks")
-    made.skipped.write.mode("overwrite").parquet(f"{out}/skipped")
+    whole = Run(documents, judged, chunks, skipped, run_stats(documents, judged, chunks, invalid))
     from quirefold.plans.stream_job import now
 
-    manifest_line(spark, cfg, made.stats, made.skipped, made.documents, created_at or now()).coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
-    return made
+    manifest_line(spark, cfg, whole.stats, whole.skipped, whole.documents, created_at or now()).coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
+    return whole
 
 
 def run_available(spark: SparkSession, source: str, out: str, checkpoint: str, cfg: ChunkingConfig, **options) -> Run:

@@ -12,6 +12,7 @@ from quirefold.config import ChunkingConfig, SegmentationError
 from quirefold.functions import text as fx
 from quirefold.functions.sentences import TrainedSplitter, train_splitter
 from quirefold.functions.tokens import FileTokenizer, FunctionCounter, load, resolve
+from quirefold.operators.merging import merge_runts
 from quirefold.operators.numbering import running_before
 from quirefold.operators.sections import section_paths
 from quirefold.plans.catalog import word_level_tokenizer
@@ -349,6 +350,23 @@ def test_white_space_columns(spark):
     assert got[5].p == ["p.", "q!", "r"] and got[2].p == []
 
 
+@pytest.mark.parametrize("cross", [False, True])
+def test_merging_frames_equals_merging_in_a_run(spark, cross):
+    rng = random.Random(9)
+    d, p = frames(
+        spark,
+        [doc(f"d{i}", 5, toc=[entry("A", 0, 0), entry("B", 0, 3)]) for i in range(5)],
+        [page(f"d{i}", j, "\n\n".join(" ".join(["w"] * rng.randint(1, 9)) for _ in range(rng.randint(1, 5)))) for i in range(5) for j in range(5)],
+    )
+    cut = run(d, p, config("recursive", max_tokens=10, min_chunk_tokens=0, cross_page=cross)).chunks
+    merged = merge_runts(cut, p, config("recursive", max_tokens=10, min_chunk_tokens=4, cross_page=cross))
+    want = run(d, p, config("recursive", max_tokens=10, min_chunk_tokens=4, cross_page=cross)).chunks
+    columns = ["doc_key", "text", "token_count", "spans", "section_path"]
+    got = sorted(merged.collect(), key=lambda r: (r.doc_key, r.chunk_index))
+    assert [[r[c] for c in columns] for r in got] == [[r[c] for c in columns] for r in want.orderBy("doc_key", "chunk_index").collect()]
+    assert 0 < merged.count() < cut.count() and merge_runts(cut.limit(0), p, config()).count() == 0
+
+
 def test_views(spark):
     d, p = frames(spark, [doc(pages=1)], [page()])
     run(d, p, config()).register("t_")

@@ -36,6 +36,37 @@ def test_the_first_of_repeated_records_stays(spark, tmp_path):
     assert (row.text, row.source_doc.source_path) == ("zeta", "/first")
 
 
+def test_only_documents_with_new_records_are_cut_again(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    put(source, "1.jsonl", [x for i in range(20) for x in (doc(f"d{i}", 2), page(f"d{i}", 0, "one two"))])
+    run_available(spark, str(source), out, state, config())
+    before = {(f.parent.name, f.name): f.stat().st_mtime_ns for f in (tmp_path / "out" / "chunks").rglob("part-*")}
+    put(source, "2.jsonl", [page("d3", 1, "three"), page("d3", 0, "later text")])
+    made = run_available(spark, str(source), out, state, config())
+    after = {(f.parent.name, f.name): f.stat().st_mtime_ns for f in (tmp_path / "out" / "chunks").rglob("part-*")}
+    assert len(before) > 10 and len(set(before) - set(after)) == 1  # the bucket of d3 alone was replaced
+    assert made.stats.first().chunks_written == 21 and made.chunks.count() == 21
+    assert {r.text for r in made.chunks.filter("doc_id = 'd3'").collect()} == {"one two", "three"}
+    assert run_available(spark, str(source), out, state, config()).chunks.count() == 21  # nothing new
+    assert run_available(spark, str(source), out, state, config("fixed-size", max_tokens=1, min_chunk_tokens=0)).chunks.count() == 41  # other settings
+
+
+def test_a_document_that_comes_after_its_page(spark, tmp_path):
+    """The page is skipped as an orphan at first and not any more when its document is there."""
+    source = tmp_path / "in"
+    source.mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    put(source, "1.jsonl", [page("z", 0), doc("a"), page("a", 0)])
+    made = run_available(spark, str(source), out, state, config())
+    assert [(r.doc_id, r.reason) for r in made.skipped.collect()] == [("z", "invalid_record")]
+    put(source, "2.jsonl", [doc("z")])
+    made = run_available(spark, str(source), out, state, config())
+    assert made.skipped.count() == 0 and made.stats.first().invalid_lines == 0
+    assert sorted(r.chunk_id for r in made.chunks.collect()) == ["a::c0000", "z::c0000"]
+
+
 def test_closing_and_late_pages(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
