@@ -94,6 +94,7 @@ def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer=to
     position and ord give their order. ``paths`` (see section_paths) is used here
     only across pages, where a section bounds what is joined.
     """
+    split = splitter_of(splitter)
     rows = pages.withColumn("usable", F.col("reason").isNull())
     by_page = not cfg.cross_page
     if by_page:
@@ -111,7 +112,7 @@ def pieces(pages: DataFrame, cfg: ChunkingConfig, paths: DataFrame, tokenizer=to
             .repartition("doc_key")
             .sortWithinPartitions("doc_key", "page_index", "seq")
         )
-    return staged(rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, splitter_of(splitter), by_page), PIECE_DDL))
+    return staged(rows.select(*UNIT_COLUMNS).mapInArrow(segment_batches(cfg, tokenizer, split, by_page), PIECE_DDL))
 
 
 def chunks(cut: DataFrame, documents: DataFrame, cfg: ChunkingConfig, paths: DataFrame) -> DataFrame:
