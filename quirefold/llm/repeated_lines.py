@@ -385,7 +385,8 @@ def without_repeated_lines(
     rows = _usable(pages, source, page, text, row_id)
     hits, confirmed, _ = _confirmed_lines(rows, min_pages, capacity, slices, broadcast_rows, fan)
     if small_enough(confirmed, broadcast_rows):
-        keys = np.array([tuple(r) for r in confirmed.select(*KEY).collect()], np.int64)  # at most broadcast_rows
+        found = confirmed.select(*KEY).toArrow()  # at most broadcast_rows, 24 bytes each
+        keys = np.stack([found.column(k).to_numpy() for k in KEY], axis=1)
         return rows.mapInArrow(drop_confirmed(pages.sparkSession.sparkContext.broadcast(keys)), CLEAN_DDL)
     gone = hits.join(confirmed, KEY, "left_semi").groupBy("row_id").agg(F.collect_list("pos").alias("gone"))
     return rows.select("row_id", "text").join(gone, "row_id", "left").select("row_id", "text", "gone").mapInArrow(drop_lines, CLEAN_DDL)
