@@ -338,9 +338,8 @@ def single_file(spark, folder):
     made = job.run(read.documents, read.pages, cfg, read.orphans, read.invalid)
     path = scratch(spark, "chunks")
     jsonl.write_lines(made, cfg, path, CREATED, single_file=True)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "line"))
-    x = lines.select(F.col("pos").cast("long"), F.from_json("line", "record_type string, chunk_id string").alias("x"))
-    return x.select("pos", "x.record_type", "x.chunk_id")
+    lines = jsonl.numbered_lines(spark, path, F.from_json("value", "record_type string, chunk_id string").alias("x"))
+    return lines.select("pos", "x.record_type", "x.chunk_id")
 
 
 def skip_order(spark, folder):

@@ -126,6 +126,29 @@ def read_records(spark: SparkSession, path: str | list[str], strict: bool = Fals
     )
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str], *columns) -> DataFrame:
+    """``columns`` of every line (column value) of text files, with its place in its file (pos, from 0).
+
+    A file is read in many splits; only one small row a split is needed to number
+    the lines. The columns are stored once, so take no more than is used.
+    """
+    own = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), *columns,
+    )
+    rows = staged(own)
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        rows.groupBy("_file", "_block")
+        .agg(F.min("_id").alias("_first"), F.count("*").alias("_lines"))
+        .withColumn("_base", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+        .drop("_lines")
+    )
+    # a split's lines come in order and are numbered without a gap
+    pos = (F.col("_base") + F.col("_id") - F.col("_first")).alias("pos")
+    return rows.join(splits, ["_file", "_block"]).select(pos, *rows.columns[3:])
+
+
 def chunk_lines(chunks: DataFrame) -> DataFrame:
     """Chunks as JSON lines (column value), nulls and key order kept, with sort keys."""
     line = F.to_json(F.struct(*CHUNK_COLUMNS), {"ignoreNullFields": "false"})

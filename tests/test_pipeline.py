@@ -19,7 +19,7 @@ from quirefold.plans.catalog import word_level_tokenizer
 from quirefold.plans.job import run
 from quirefold.plans.stream_job import process, process_file, summary
 from quirefold.schemas import DOCUMENTS, PAGES
-from quirefold.sources.jsonl import read_records
+from quirefold.sources.jsonl import numbered_lines, read_records
 from quirefold.sources.records import Invalid, boolean, integer, read_line
 
 
@@ -371,3 +371,17 @@ def test_views(spark):
     d, p = frames(spark, [doc(pages=1)], [page()])
     run(d, p, config()).register("t_")
     assert spark.sql("SELECT c.doc_id, s.char_end FROM t_chunks c JOIN t_spans s USING (chunk_id)").first().char_end == 10
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    rng = random.Random(4)
+    files = [["x" * rng.randint(0, 90) if i % 5 else "" for i in range(n)] for n in (400, 1, 37)]
+    for k, lines in enumerate(files):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k}:{i}:{x}\n" if x else "\n" for i, x in enumerate(lines)))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [tuple(r) for r in numbered_lines(spark, str(tmp_path), F.col("value")).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert sorted(got) == sorted((i, f"{k}:{i}:{x}" if x else "") for k, lines in enumerate(files) for i, x in enumerate(lines))

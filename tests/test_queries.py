@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import DataFrameReader
 
 from quirefold.plans import catalog
 from tests.compare import DATA, same
@@ -32,3 +33,19 @@ def test_the_word_scan_reads_only_what_it_needs(spark):
 
 def test_entry(spark):
     assert catalog.flagship(spark, DATA).count() > 0
+
+
+def test_the_single_file_is_read_by_splits(spark, monkeypatch):
+    """No row holds a whole file; lines of many splits are numbered as one file's."""
+    read, most = DataFrameReader.text, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def text(self, paths, wholetext=False, **options):
+        assert not wholetext
+        return read(self, paths, **options)
+
+    monkeypatch.setattr(DataFrameReader, "text", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        same(spark, catalog.queries()["q38_single_file"], SQL["q38_single_file"])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
