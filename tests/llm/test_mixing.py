@@ -108,3 +108,19 @@ def test_selection(spark):
     again = {tuple(r) for r in select_documents(documents.repartition(7), targets).collect()}
     assert again == {tuple(r) for r in chosen.collect()}
     assert select_documents(documents.filter("false"), targets).count() == 0
+
+
+def test_the_bound_of_patterns_changes_no_result(spark):
+    """However few patterns are broadcast, the largest total and the selection are those of all patterns."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(2000):
+        for s in rng.sample("abcd", rng.choice((1, 1, 2, 3))):
+            rows.append((len(rows), s, i, 10 + i % 7))
+    documents = spark.createDataFrame(rows, "doc_id long, source string, text_key long, n_tokens long").cache()
+    targets = {"m": {"a": Target(0.7, 1), "b": Target(0.1, 2), "c": Target(0.1, 1), "d": Target(0.1, 3)}}
+    chosen = {tuple(r) for r in select_documents(documents, targets).collect()}
+    assert chosen == {tuple(r) for r in select_documents(documents, targets, most_patterns=4).collect()}
+    # "a" can have every text that it holds, and sets the total
+    held = sum(r[3] for r in rows if r[1] == "a")
+    assert abs(sum(r[3] * r[4] for r in chosen if r[1] == "a") - held) <= 100
